@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._common import held_out, small_batches, text_bytes
 
 #: Labelled rows that the fit may use, in the order of a hash of their ids.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 4_000
 BITS = 18
 EPOCHS, COST, SEED = 12, 1.0, 5
 THRESHOLD = 0.7
@@ -129,7 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     small_batches(docs.sparkSession)
     got = chosen.mapInArrow(run, "doc_id long, quality int, ids array<int>").toArrow().sort_by("doc_id")
-    return fit([np.asarray(x, np.int64) for x in got.column("ids").to_pylist()], got.column("quality").to_numpy())
+    lists = got.column("ids").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    return fit(np.split(flat, ends[:-1]) if len(ends) else [], got.column("quality").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, nbsvm, packing, quality_rules, sharding, token_files
+from . import decontamination, license_scan, nbsvm, packing, quality_rules, sharding, simhash, token_files, warc_zip
 from ._common import held_out
 from ._tokens import public_tokenizer
 
@@ -39,6 +39,19 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -49,7 +62,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_token_files": op4_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_simhash": op7_simhash,
+    "op8_warc_zip": op8_warc_zip,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.report_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.report_sql(),
+    "op8_warc_zip": warc_zip.ORACLE_SQL,
+    "op9_decontamination": decontamination.contaminated_sql(),
+}
