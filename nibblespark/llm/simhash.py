@@ -80,6 +80,8 @@ def groups_within(prints: np.ndarray, radius: int, wide: np.ndarray | None = Non
 
     With ``wide`` (rows of 64-bit parts) a link needs these within ``wide_radius`` bits too.
     """
+    prints = prints.view(np.uint64)  # of signed numbers, NumPy counts the bits of the absolute value
+    wide = None if wide is None else wide.view(np.uint64)
     n = len(prints)
     first = np.arange(n)
     unseen = np.arange(n)
