@@ -14,6 +14,10 @@ from nibblespark.llm._common import materialise
 from nibblespark.llm._tokens import public_tokenizer
 
 
+#: The columns of documents; the stages that rewrite texts pass on these.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,7 +25,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier (fitted on this stage's labelled rows) rejects go."""
     model = nbsvm.train(docs, _table(spark, sf_dir, "labels"))
-    return nbsvm.score(docs, model, docs.columns).where(F.col("score") >= nbsvm.THRESHOLD).drop("score")
+    named = docs.withColumnRenamed("score", "__score")  # an extra column of that name would be replaced
+    kept = nbsvm.score(named, model, named.columns).where(F.col("score") >= nbsvm.THRESHOLD).drop("score")
+    return kept.withColumnRenamed("__score", "score").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long strings that repeat are cut out of the texts; every document stays."""
-    cut = suffix_dedup.remove_repeats(docs)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

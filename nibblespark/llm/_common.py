@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,7 +25,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("nibblespark.scratch.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = f"file://{tempfile.mkdtemp(prefix='nibblespark-')}"
     spark.conf.set("nibblespark.scratch.dir", root)

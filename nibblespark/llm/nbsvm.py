@@ -135,9 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every document, with its score."""
+    """``keep`` columns of every document, with its score, which takes the place of a column of that name."""
     small_batches(docs.sparkSession)
-    keep = list(keep)
+    keep = [c for c in keep if c.lower() != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,5 +146,5 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataF
                 s = [shared.value.score(features(t)) for t in text_bytes(b.column("text"))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s, pa.float64())], names=[*keep, "score"])
 
-    fields = [docs.schema[c].simpleString().replace(":", " ", 1) for c in keep]
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*fields, "score double"]))

@@ -16,7 +16,8 @@ Texts are never shuffled: rows are named by file and row number, and what is fou
 written to a folder of the block in the shared scratch folder, where the tasks that read those rows find it.
 
 Null text: empty, nothing removed. Null ids and repeated rows are rows of their own (equal rows of
-``WINDOW`` bytes or more remove each other). An empty table gives no rows. Extra columns are kept.
+``WINDOW`` bytes or more remove each other). An empty table gives no rows. Extra columns are kept, but for
+those that have the name of one of the results.
 """
 
 from __future__ import annotations
@@ -253,7 +254,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     rows = docs if _plain_scan(docs) else materialise(docs, "texts")
     named = _named(rows)
     path = _leave(repeated_spans(named, window, gram, most), "spans")
-    keep = [c for c in docs.columns if c != "text"] if texts else ["doc_id"]
+    own = {"text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"}
+    keep = [c for c in docs.columns if c.lower() not in own] if texts else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Findings(path)
