@@ -140,11 +140,16 @@ def to_long(rows: DataFrame, width: int) -> DataFrame:
 # ---------------------------------------------------------------- rows of unequal length
 
 
-def ragged_from_offsets(a: DataFrame, offsets: DataFrame) -> DataFrame:
-    """(row, vals) from values and (k, off): row k holds off[k] up to off[k + 1]; empty rows stay."""
-    w = Window.orderBy("k")
-    bounds = offsets.select(F.col("k").alias("row"), F.col("off").alias("lo"), F.lead("off").over(w).alias("hi")).where("hi IS NOT NULL")
-    cells = a.join(bounds, (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))).select("row", "pos", "v")
+def ragged_from_offsets(a: DataFrame, offsets: DataFrame, block: int = 4096) -> DataFrame:
+    """(row, vals) from values and (k, off): row k holds off[k] up to off[k + 1]; empty rows stay.
+
+    Rows and elements meet by blocks of places, an equi-join, not by comparing every row with every element.
+    """
+    ends = offsets.select((F.col("k") - 1).alias("row"), F.col("off").alias("hi"))
+    bounds = offsets.select(F.col("k").alias("row"), F.col("off").alias("lo")).join(ends, "row")
+    touched = F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))
+    spread = bounds.where("hi > lo").select("row", "lo", "hi", F.explode(touched).alias("block"))
+    cells = a.withColumn("block", F.floor(F.col("pos") / block)).join(spread, "block").where((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")))
     packed = cells.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("vals"))
     return bounds.select("row").join(packed, "row", "left").select("row", F.coalesce("vals", F.array().cast(packed.schema["vals"].dataType)).alias("vals"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ArraySpec
@@ -155,9 +155,11 @@ def basic_index(a: DataFrame, spec: ArraySpec, key: tuple) -> tuple[DataFrame, t
 
 def boolean_mask(a: DataFrame, mask: DataFrame, spec: ArraySpec) -> DataFrame:
     """Elements where the mask (same index, v boolean) is true, in row-major order: (pos, v)."""
+    from .arrays import with_positions
+
     names = axes(len(spec.shape))
-    hit = a.join(mask.where("v").select(*names), names)
-    return hit.select((F.row_number().over(Window.orderBy(linear(spec))) - 1).cast("long").alias("pos"), "v")
+    hit = a.join(mask.where("v").select(*names), names).withColumn("__place", linear(spec))
+    return with_positions(hit, ["__place"], F.floor(F.col("__place") / 65_536)).select("pos", "v")
 
 
 def take_axis(a: DataFrame, indices: list[int], axis: int, shape: tuple[int, ...]) -> DataFrame:

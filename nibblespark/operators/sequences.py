@@ -67,7 +67,12 @@ def motif_features(df: DataFrame, start: int, stop: int, seq: str = "seq", weigh
     if not 1 <= start < stop <= 64:
         raise ValueError("lengths must satisfy 1 <= start < stop <= 64")
     wrapped = df.select(F.concat(F.lit(boundary), seq, F.lit(boundary)).alias("s"), F.col(weight).cast("long").alias("w"))
-    grams = F.flatten(F.array(*(F.transform(F.when(F.length("s") >= k, F.sequence(F.lit(1), F.length("s") - (k - 1))).otherwise(F.array().cast("array<int>")), lambda p, k=k: F.struct(F.lit(k).cast("long").alias("k"), F.substring("s", p, F.lit(k)).alias("kmer"))) for k in range(start, stop))))
+
+    def grams_of(k: int) -> Column:
+        places = F.when(F.length("s") >= k, F.sequence(F.lit(1), F.length("s") - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda p: F.struct(F.lit(k).cast("long").alias("k"), F.substring(F.col("s"), p, F.lit(k)).alias("kmer")))
+
+    grams = F.flatten(F.array(*map(grams_of, range(start, stop))))
     counts = wrapped.select("w", F.explode(grams).alias("g")).groupBy("g.k", "g.kmer").agg(F.sum("w").alias("n"))
     totals = counts.groupBy("k").agg(F.sum("n").alias("total"))  # one row per length
     share = F.when(F.col("total") == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.col("n").cast("double"), F.col("total")))

@@ -69,7 +69,7 @@ _float_query("ew_binary", {
     "minimum_": (lambda x, y: b["minimum"](x, y), "least(x, y)"), "pow_": (lambda x, y: b["pow"](F.abs(x), y), "pow(abs(x), y)"), "copysign_": (lambda x, y: b["copysign"](x, y), "abs(x) * CASE WHEN y < 0 THEN -1 ELSE 1 END"),
     "clip_": (lambda x, y: N.clip(x, F.lit(-1.0), F.lit(1.0)), "least(greatest(x, -1.0), 1.0)"),
 }, kinds={"divide_kind": (lambda x, y: b["divide"](x, y), "CASE WHEN y <> 0 THEN 'finite' WHEN x > 0 THEN 'inf' ELSE '-inf' END")},
-flags={n + "_": (lambda x, y: b[n](x, y), s) for n, s in {"equal": "x = y", "not_equal": "x <> y", "less": "x < y", "less_equal": "x <= y", "greater": "x > y", "greater_equal": "x >= y", "logical_and": "x <> 0 AND y <> 0", "logical_or": "x <> 0 OR y <> 0", "logical_xor": "(x <> 0) <> (y <> 0)"}.items()})
+flags={n + "_": (lambda x, y, n=n: b[n](x, y), s) for n, s in {"equal": "x = y", "not_equal": "x <> y", "less": "x < y", "less_equal": "x <= y", "greater": "x > y", "greater_equal": "x >= y", "logical_and": "x <> 0 AND y <> 0", "logical_or": "x <> 0 OR y <> 0", "logical_xor": "(x <> 0) <> (y <> 0)"}.items()})
 
 BYTES = {
     "add": "(u + w) % 256", "subtract": "(u - w + 256) % 256", "multiply": "u * w % 256", "floor_divide": "CASE WHEN w = 0 THEN 0 ELSE u // w END", "remainder": "CASE WHEN w = 0 THEN 0 ELSE u % w END",

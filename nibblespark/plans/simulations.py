@@ -156,9 +156,8 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ..streaming import arrays as stream
 
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path if "*" in path else f"{sf_dir}/event[s].parquet")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     name = f"counts_{uuid.uuid4().hex[:8]}"
     counts = stream.windowed_counts(events, "event_type")
     run = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
