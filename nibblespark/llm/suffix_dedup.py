@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -92,9 +93,26 @@ def _segments(named: DataFrame, window: int, gram: int) -> DataFrame:
                     continue
                 k, first, last, anchor, content, key = got
                 at, shift = np.array(rows)[k], np.array(offsets)[k] - starts[k]
-                yield pa.RecordBatch.from_pydict({"block": block[at], "row": row[at], "at": _where(first + shift, last + shift, anchor + shift), "content": content.view(np.int64), "gram": key.view(np.int64)})
+                yield _gathered(block[at], row[at], _where(first + shift, last + shift, anchor + shift), content.view(np.int64), key.view(np.int64))
 
-    return named.select("__block", "__row", "text").mapInArrow(run, "block long, row long, at long, content long, gram long")
+    return named.select("__block", "__row", "text").mapInArrow(run, "block long, content long, gram long, rows array<long>, ats array<long>")
+
+
+def _gathered(block: np.ndarray, row: np.ndarray, at: np.ndarray, content: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
+    """One row for equal segments of a handful of texts, with all their places: what is common is small before any shuffle."""
+    order = np.lexsort((at, row, content, gram, block))
+    block, row, at, content, gram = (x[order] for x in (block, row, at, content, gram))
+    starts = np.append(0, np.flatnonzero((np.diff(block) != 0) | (np.diff(gram) != 0) | (np.diff(content) != 0)) + 1)
+    ends = pa.array(np.append(starts, len(block)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (row, at)]
+    return pa.RecordBatch.from_arrays([*(pa.array(x[starts]) for x in (block, content, gram)), *lists], names=["block", "content", "gram", "rows", "ats"])
+
+
+def _flat(found: pa.Table) -> pa.Table:
+    """Findings with lists of places (rows, ats) as one row for each."""
+    if "rows" not in found.column_names:
+        return found
+    return pa.table({"row": pc.list_flatten(found.column("rows")), "at": pc.list_flatten(found.column("ats"))})
 
 
 class _Findings:
@@ -112,7 +130,7 @@ class _Findings:
             folder = f"{self.folder}/block={block}"
             if self.system.get_file_info(folder).type == fs.FileType.Directory:
                 files = [f.path for f in self.system.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")]
-                self.table = pa.concat_tables(pq.read_table(f, filesystem=self.system, partitioning=None) for f in sorted(files)).sort_by("row")
+                self.table = pa.concat_tables(_flat(pq.read_table(f, filesystem=self.system, partitioning=None)) for f in sorted(files)).sort_by("row")
                 self.rows = self.table.column("row").to_numpy()
         if self.table is None:
             return None
@@ -217,21 +235,20 @@ def _counted_spans(contexts: DataFrame, window: int) -> DataFrame:
     return windows.join(again, ["hash", "gram"], "left_semi").select("block", "row", "first", "last")
 
 
-def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """Spans (block, row, first, last) of bytes that go; they may overlap."""
+def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """Bytes that go: whole segments (block, rows, ats), and other spans (block, row, first, last). They may overlap."""
     cut = materialise(_segments(named, window, gram), "segments")
-    classes = materialise(cut.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.struct("block", "row", "at")).alias("one")), "classes")
-    whole = cut.join(classes.where("n > 1").select("gram", "content"), ["gram", "content"], "left_semi")
-    first = F.shiftright("at", 20)
-    whole = whole.select("block", "row", first.alias("first"), (first + F.shiftright("at", 10).bitwiseAND(1023) + window).alias("last"))
+    one = F.struct("block", F.get("rows", F.lit(0)).alias("row"), F.get("ats", F.lit(0)).alias("at"))
+    classes = materialise(cut.groupBy("gram", "content").agg(F.sum(F.size("rows")).alias("n"), F.min(one).alias("one")), "classes")
+    whole = cut.join(classes.where("n > 1").select("gram", "content"), ["gram", "content"], "left_semi").select("block", "rows", "ats")
     shared = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
     partial = classes.join(shared, "gram").select("gram", "one.block", "one.row", "one.at", "classes")
     contexts = _contexts(named, _leave(partial, "partial"), window)
-    spans = whole.unionByName(_sorted_spans(contexts.where(F.col("classes") <= most), window, gram))
+    spans = _sorted_spans(contexts.where(F.col("classes") <= most), window, gram)
     if shared.where(F.col("classes") > most).limit(1).count():
         hot = materialise(contexts.where(F.col("classes") > most), "hot-contexts")
         spans = spans.unionByName(_counted_spans(hot, window))
-    return spans
+    return whole, spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -253,28 +270,33 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     small_batches(docs.sparkSession)
     rows = docs if _plain_scan(docs) else materialise(docs, "texts")
     named = _named(rows)
-    path = _leave(repeated_spans(named, window, gram, most), "spans")
+    wholes, parts = map(_leave, repeated_spans(named, window, gram, most), ("wholes", "spans"))
     own = {"text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"}
     keep = [c for c in docs.columns if c.lower() not in own] if texts else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Findings(path)
+        whole, part = _Findings(wholes), _Findings(parts)
         for b in batches:
             if not b.num_rows:
                 continue
             out = []
             for block, row, t in zip(b.column("__block").to_pylist(), b.column("__row").to_pylist(), text_bytes(b.column("text"))):
-                mine = found.of(block, row)
-                gone = merged(list(zip(mine.column("first").to_pylist(), mine.column("last").to_pylist()))) if mine is not None else []
+                spans = []
+                if (mine := whole.of(block, row)) is not None:
+                    first, last, _ = _parts_of(mine.column("at").to_numpy())
+                    spans += zip(first.tolist(), (last + window).tolist())
+                if (mine := part.of(block, row)) is not None:
+                    spans += zip(mine.column("first").to_pylist(), mine.column("last").to_pylist())
+                gone = merged(spans)
                 kept = t
                 if gone:
                     ends = [0, *(x for s in gone for x in s), len(t)]
                     kept = b"".join(t[i:j] for i, j in zip(ends[::2], ends[1::2]))
-                spans = [{"first": i, "last": j} for i, j in gone]
-                out.append((kept.decode("utf-8", "ignore") if texts else "", len(t), len(t) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), spans))
-            text, n, removed, count, digest, spans = zip(*out)
+                runs = [{"first": i, "last": j} for i, j in gone]
+                out.append((kept.decode("utf-8", "ignore") if texts else "", len(t), len(t) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), runs))
+            text, n, removed, count, digest, runs = zip(*out)
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-            extra = {"n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept_sha256": pa.array(digest), "spans": pa.array(spans, kind)}
+            extra = {"n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept_sha256": pa.array(digest), "spans": pa.array(runs, kind)}
             if texts:  # a text that was null stays so
                 extra["text"] = pa.array(text, mask=~b.column("text").is_valid().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *extra.values()], names=[*keep, *extra])
