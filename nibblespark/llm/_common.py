@@ -6,9 +6,7 @@ import posixpath
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,25 +62,6 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts of a batch as one byte array, with each text's start and length."""
-    texts = text_bytes(column)
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(lens) - lens, lens
-
-
-def batches_of(items: Iterable, limit: int) -> Iterator[list]:
-    """Lists of at most ``limit`` items."""
-    out: list = []
-    for x in items:
-        out.append(x)
-        if len(out) >= limit:
-            yield out
-            out = []
-    if out:
-        yield out
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the fold that is never learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
