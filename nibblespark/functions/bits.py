@@ -21,6 +21,11 @@ def _range(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once; inside a lambda an expression would be evaluated for every element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _shift_left(x: Column, k: Column) -> Column:
     return F.call_function("shiftleft", x, k.cast("int"))
 
@@ -37,6 +42,10 @@ def word_count(n: Column, bits: int, aligned: bool) -> Column:
 def pack(vals: Column, bits: int, aligned: bool = False) -> Column:
     """An array of values as an array of words."""
     check_bits(bits)
+    return let(vals, lambda v: _pack(v, bits, aligned))
+
+
+def _pack(vals: Column, bits: int, aligned: bool) -> Column:
     n = F.size(vals).cast("long")
     zero = F.lit(0).cast("long")
 
@@ -76,7 +85,7 @@ def element(words: Column, i: Column, bits: int, aligned: bool = False) -> Colum
 def unpack(words: Column, n: Column, bits: int, aligned: bool = False, start: Column | int = 0) -> Column:
     """n values from place ``start`` on."""
     begin = F.lit(start) if isinstance(start, int) else start
-    return F.transform(_range(n), lambda i: element(words, i + begin, bits, aligned).cast("smallint"))
+    return let(words, lambda w: F.transform(_range(n), lambda i: element(w, i + begin, bits, aligned).cast("smallint")))
 
 
 def pack_rows(df: DataFrame, bits: int, aligned: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -129,8 +138,8 @@ def wire_bytes(words: Column) -> Column:
 
 
 def from_wire(raw: Column, n_words: Column) -> Column:
-    digits = F.hex(raw)
-    return F.transform(_range(n_words), lambda w: F.conv(F.substr(digits, (w * 16 + 1).cast("int"), F.lit(16)), 16, -10).cast("long"))
+    word = lambda digits, w: F.conv(F.substr(digits, (w * 16 + 1).cast("int"), F.lit(16)), 16, -10).cast("long")
+    return let(F.hex(raw), lambda digits: F.transform(_range(n_words), lambda w: word(digits, w)))
 
 
 def wire_padding(words: Column, n: Column, bits: int) -> Column:
