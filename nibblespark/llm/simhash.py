@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, small_batches, text_bytes
@@ -175,6 +175,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 #: Near copies: words of a shingle, bits of the wide fingerprint, and the most in which it may differ. Texts
 #: that share 0.8 of their shingles have a cosine of 2 * 0.8 / 1.8 and differ in 39 of 256 bits on average.
 COPY_SHINGLE, WIDE, WIDE_RADIUS = 5, 4, 42
+#: Common shingles come last in the order of shingles: one row of SAMPLED is counted, HOT times make one common.
+SAMPLED, HOT, MOST_HOT = 8, 6, 100_000
+#: 64-bit parts of a set's parities: sets differ in as many elements as their parities in bits, or in more.
+PARITIES = 16
+#: Ids that are broadcast to find their texts.
+BROADCAST_IDS = 1_000_000
 
 
 def wide_fingerprint(text: bytes, shingle: int = COPY_SHINGLE) -> list[int]:
@@ -194,26 +200,120 @@ def wide_fingerprint(text: bytes, shingle: int = COPY_SHINGLE) -> list[int]:
     return np.packbits(2 * counts > n, bitorder="little").view("<i8").tolist()
 
 
+def shingle_set(text: bytes, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes; a shorter text is one shingle."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    n = max(len(words) - shingle + 1, 1)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if n > 1 else [b" ".join(words)]
+    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, n)).view(np.int64)
+
+
+def _signature(own: np.ndarray) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    sig = xxh3_64_intdigest(own.tobytes())
+    return sig - (1 << 64) if sig >> 63 else sig
+
+
+def _parities(own: np.ndarray) -> list[int]:
+    bits = np.bincount((own.view(np.uint64) % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) % 2
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def _prefix(n: int) -> int:
+    """Sets that share 0.8 of their union share one of the first so many, in any order common to all sets."""
+    return n - -(-4 * n // 5) + 1
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample, sorted, with their counts. They only set an order: no pair depends on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in text_bytes(b.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t))], names=["token"])
+
+    rows = docs.where(F.crc32(F.col("doc_id").cast("string")) % SAMPLED == 0).select("text").mapInArrow(run, "token long")
+    often = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "token").limit(MOST_HOT)
+    got = sorted((r["token"], r["n"]) for r in often.collect())
+    return np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
+
+
+def _similar(docs: DataFrame, vertices: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of signatures whose whole sets have a Jaccard similarity of 0.8 or more."""
+    left, right = (sketches.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("parities").alias(f"p{k}")) for k in "ab")
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # at 0.8 the sets differ in a ninth of their sizes at most
+    pairs = materialise(pairs.distinct().join(left, "a").join(right, "b").where(9 * apart <= F.col("na") + F.col("nb")).select("a", "b"), "pairs")
+    sigs = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    needed = materialise(vertices.join(sigs, "sig", "left_semi").select(F.col("id").alias("doc_id"), "sig"), "needed")
+    sized = F.broadcast if needed.count() <= BROADCAST_IDS else lambda x: x  # by the count just taken
+    texts = docs.select("doc_id", "text").join(sized(needed.select("doc_id").distinct()), "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in text_bytes(b.column("text")):
+                own = shingle_set(t)
+                yield pa.RecordBatch.from_arrays([pa.array([_signature(own)]), pa.array([own], pa.list_(pa.int64()))], names=["sig", "own"])
+
+    sets = materialise(texts.select("text").mapInArrow(run, "sig long, own array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("own").alias("y")), "b")
+    # i / (x + y - i) >= 4 / 5
+    enough = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
+    return materialise(both.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id of each row, for copies that share about 0.8 of their five-word shingles.
+    """doc_id and component_id of each row; links are all pairs that share 0.8 of their five-word shingles.
 
-    Word fingerprints (which hardly move when a few words do) within RADIUS bits give the candidates through
-    the covering tables; the wide fingerprint of the five-word shingles decides.
+    Texts are sets of shingles (64-bit hashes). In an order of all shingles, rare ones first, two such sets share
+    one of their first fifth, so these are the buckets and no pair is lost. Each bucket first holds its members
+    against one of them; then only members that are not in one component yet meet. Sizes, places in the order and
+    parities leave out pairs that can't reach 0.8; whole sets decide each link.
     """
     small_batches(docs.sparkSession)
-    names = [f"wide{k}" for k in range(WIDE)]
+    common, counts = _common(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                texts = text_bytes(b.column("text"))
-                prints = np.array([fingerprint(t, 1) for t in texts], np.uint64).view(np.int64)
-                parts = np.array([wide_fingerprint(t) for t in texts], np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints), *map(pa.array, parts.T.copy())], names=["doc_id", "print", *names])
-
-    schema = ", ".join(["doc_id long", "print long", *(f"{n} long" for n in names)])
-    prints = materialise(docs.select("doc_id", "text").mapInArrow(run, schema), "prints")
-    vertices = materialise(prints.groupBy("print", *names).agg(F.min("doc_id").alias("id")), "vertices")
-    joined = connected_components(links(vertices.where(F.col("id").isNotNull()), RADIUS, MOST, WIDE_RADIUS))
-    classes = vertices.join(joined, "id", "left").select("print", *names, F.coalesce("component", "id").alias("component_id"))
-    return prints.join(classes, ["print", *names]).select("doc_id", "component_id")
+                sigs, sizes, firsts, parities = [], [], [], []
+                for t in text_bytes(b.column("text")):
+                    own = shingle_set(t)
+                    at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
+                    often = np.where(common[at] == own, counts[at], 0) if len(common) else np.zeros(len(own), np.int64)
+                    sigs.append(_signature(own))
+                    sizes.append(len(own))
+                    parities.append(_parities(own))
+                    firsts.append(own[np.lexsort((own, often))[: _prefix(len(own))]])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))], names=["doc_id", "sig", "n", "firsts", "parities"])
+
+    prints = materialise(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig long, n int, firsts array<long>, parities array<long>"), "prints")
+    vertices = materialise(prints.groupBy("sig").agg(F.min("doc_id").alias("id")), "vertices")
+    known = prints.where(F.col("doc_id").isNotNull())
+    sketches = materialise(known.groupBy("sig").agg(F.min("n").alias("n"), F.min("parities").alias("parities")), "sketches")
+    one = known.groupBy("sig").agg(F.min(F.struct("n", "firsts")).alias("x"))
+    dealt = one.select("sig", F.col("x.n").alias("n"), F.posexplode("x.firsts").alias("at", "token"))
+    members = dealt.withColumn("members", F.count("*").over(Window.partitionBy("token")))
+    shared = materialise(members.where("members > 1").select("token", "sig", "n", "at"), "shared")
+
+    # few different centres for one text: of two orders, that of the bucket
+    centre = F.min(F.struct(F.xxhash64(F.pmod("token", F.lit(2)), "sig"), F.col("sig").alias("a"), F.col("n").alias("m"))).alias("c")
+    stars = shared.join(shared.groupBy("token").agg(centre), "token").where("sig != c.a AND 5 * least(n, c.m) >= 4 * greatest(n, c.m)")
+    first = _similar(docs, vertices, sketches, stars.select(F.least("sig", "c.a").alias("a"), F.greatest("sig", "c.a").alias("b")))
+
+    joined = connected_components(first).withColumnRenamed("id", "sig")
+    rows = materialise(shared.join(joined, "sig", "left").select("token", "sig", "n", "at", F.coalesce("component", "sig").alias("part")), "parts")
+    mixed = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token")
+    x = rows.join(mixed, "token", "left_semi")
+    y = x.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("part").alias("other"))
+    # the first element that two sets share leaves so many for the others
+    rest = x.join(y, "token").where("sig < b AND part != other AND 5 * least(n, m) >= 4 * greatest(n, m) AND 9 * least(n - at, m - place) >= 4 * (n + m)")
+    second = _similar(docs, vertices, sketches, rest.select(F.col("sig").alias("a"), "b"))
+
+    ends = connected_components(first.unionByName(second)).withColumnRenamed("id", "sig")
+    classes = vertices.join(ends, "sig", "left").select("sig", "id", F.coalesce("component", "sig").alias("part"))
+    least = classes.groupBy("part").agg(F.min("id").alias("component_id"))
+    return prints.join(classes.join(least, "part").select("sig", "component_id"), "sig").select("doc_id", "component_id")

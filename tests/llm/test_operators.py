@@ -262,6 +262,36 @@ def test_near_copies_are_found_and_others_left(spark):
     assert all(got[100 + i] == i for i in range(0, 30, 3)) and all(got[i] == i for i in range(30))
 
 
+def jaccard_components(texts, least=0.8):
+    """Components by five-word shingles themselves, all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+    label = {i: i for i in sets}
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if label[a] != label[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((label[a], label[b]))
+                label = {i: x if z == y else z for i, z in label.items()}
+    return label
+
+
+def test_near_copies_with_text_added_or_cut_are_all_found(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for i in range(60):
+        own = [word() for _ in range(rng.randrange(40, 400))]
+        texts[i] = " ".join(own)
+        more = rng.choice([0.88, 0.9, 0.95])
+        texts[100 + i] = " ".join(own + [word() for _ in range(int(len(own) / more) - len(own))] if i % 2 else own[: int(len(own) * more)])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = jaccard_components(texts)
+    assert len(set(want.values())) < 70 and got == want
+
+
 # ---------------------------------------------------------------- 8 packages
 
 
