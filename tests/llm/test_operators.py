@@ -292,6 +292,19 @@ def test_near_copies_with_text_added_or_cut_are_all_found(spark):
     assert len(set(want.values())) < 70 and got == want
 
 
+def test_texts_below_the_similarity_are_not_joined(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for i in range(60):
+        own = [word() for _ in range(200)]
+        other = list(own)
+        for k in range(10, 10 + 30 * 6, 30):  # 30 of 196 shingles: 0.73
+            other[k] = word()
+        texts[i], texts[100 + i] = " ".join(own), " ".join(other)
+    assert simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).where("doc_id != component_id").count() == 0
+
+
 # ---------------------------------------------------------------- 8 packages
 
 
