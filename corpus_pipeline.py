@@ -14,6 +14,8 @@ from nibblespark.llm._common import materialise
 from nibblespark.llm._tokens import public_tokenizer
 
 
+#: A passage of over 50 words that repeats is cut, however few bytes it has.
+WORDS = 51
 #: The columns of documents; the stages that rewrite texts pass on these.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long strings that repeat are cut out of the texts; every document stays."""
-    cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
+    """Long strings that repeat, by bytes or by words, are cut out of the texts; every document stays."""
+    cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS), words=WORDS)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -12,6 +12,9 @@ A byte goes if a ``WINDOW``-byte string over it starts anywhere else too, in the
    splits the group over all tasks.
 4. Each task reads its texts again with the spans found for its rows, and cuts them out.
 
+With ``words``, runs of so many equal words that repeat go too, however short in bytes: the same steps run
+over the words' 32-bit hashes, and what is found is rounded inwards to whole words.
+
 Texts are never shuffled: rows are named by file and row number, and what is found for a block of rows is
 written to a folder of the block in the shared scratch folder, where the tasks that read those rows find it.
 
@@ -23,6 +26,7 @@ those that have the name of one of the results.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -251,6 +255,33 @@ def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
     return whole, spans
 
 
+#: Bytes of a word's hash.
+CODE = 4
+
+
+def _coded(named: DataFrame) -> DataFrame:
+    """The named rows with each word of the text as its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh32_digest
+
+        for b in batches:
+            codes = [b"".join(map(xxh32_digest, t.split())) for t in text_bytes(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("__block"), b.column("__row"), pa.array(codes, pa.binary())], names=["__block", "__row", "text"])
+
+    return named.select("__block", "__row", "text").mapInArrow(run, "__block long, __row long, text binary")
+
+
+def _bytes_of_words(text: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Spans of a text's word hashes as bytes of the text, each up to the word after it."""
+    runs = [(-(-i // CODE), j // CODE) for i, j in merged(spans)]
+    runs = [(i, j) for i, j in runs if j - i >= words]
+    if not runs:
+        return []
+    starts = [*(m.start() for m in re.finditer(rb"\S+", text)), len(text)]
+    return [(starts[i], starts[j]) for i, j in runs]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of overlapping or touching spans."""
     out: list[tuple[int, int]] = []
@@ -262,7 +293,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True, most: int = MOST) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True, most: int = MOST, words: int = 0) -> DataFrame:
     """Every row with n_bytes, n_removed, n_spans, spans and kept_sha256, and with the cut text if ``texts``.
 
     A character of which a part was removed goes from the cut text; the digest is of the kept bytes.
@@ -271,22 +302,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     rows = docs if _plain_scan(docs) else materialise(docs, "texts")
     named = _named(rows)
     wholes, parts = map(_leave, repeated_spans(named, window, gram, most), ("wholes", "spans"))
+    again = tuple(map(_leave, repeated_spans(_coded(named), CODE * words, gram, most), ("word-wholes", "word-spans"))) if words else ()
     own = {"text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"}
     keep = [c for c in docs.columns if c.lower() not in own] if texts else ["doc_id"]
 
+    def spans_of(whole: _Findings, part: _Findings, block: int, row: int, window: int) -> list[tuple[int, int]]:
+        spans = []
+        if (mine := whole.of(block, row)) is not None:
+            first, last, _ = _parts_of(mine.column("at").to_numpy())
+            spans += zip(first.tolist(), (last + window).tolist())
+        if (mine := part.of(block, row)) is not None:
+            spans += zip(mine.column("first").to_pylist(), mine.column("last").to_pylist())
+        return spans
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, part = _Findings(wholes), _Findings(parts)
+        found, coded = (_Findings(wholes), _Findings(parts)), tuple(map(_Findings, again))
         for b in batches:
             if not b.num_rows:
                 continue
             out = []
             for block, row, t in zip(b.column("__block").to_pylist(), b.column("__row").to_pylist(), text_bytes(b.column("text"))):
-                spans = []
-                if (mine := whole.of(block, row)) is not None:
-                    first, last, _ = _parts_of(mine.column("at").to_numpy())
-                    spans += zip(first.tolist(), (last + window).tolist())
-                if (mine := part.of(block, row)) is not None:
-                    spans += zip(mine.column("first").to_pylist(), mine.column("last").to_pylist())
+                spans = spans_of(*found, block, row, window)
+                if coded:
+                    spans += _bytes_of_words(t, spans_of(*coded, block, row, CODE * words), words)
                 gone = merged(spans)
                 kept = t
                 if gone:

@@ -91,3 +91,15 @@ def test_stages(spark):
     for parts in filled.values():
         parts.sort()
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= packing.LIMIT
+
+
+def test_a_short_passage_of_51_words_is_cut(spark):
+    import corpus_pipeline
+
+    word = lambda kind, i: f"{kind}{i:03d}"
+    planted, shorter = [word("p", i) for i in range(51)], [word("q", i) for i in range(50)]
+    texts = [" ".join([word(a, i) for i in range(30)] + part + [word(b, i) for i in range(30)]) for a, b, part in (("a", "b", planted), ("c", "d", planted), ("e", "f", shorter), ("g", "h", shorter))]
+    assert len(" ".join(planted)) < suffix_dedup.WINDOW
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"].split() for r in corpus_pipeline.repeated_strings(spark, docs, "").collect()}
+    assert [len(got[i]) for i in range(4)] == [60, 60, 110, 110] and not set(planted) & set(got[0] + got[1])
