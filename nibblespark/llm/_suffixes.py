@@ -8,6 +8,8 @@ neighbours are then held against the bytes, so a hash collision cannot pass.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 _TABLE = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,7 +135,7 @@ def segments(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, window: int
 
     The minimizer of a window is the ``gram``-byte string in it with the smallest hash, the first on a tie.
     Gives, for runs of windows with one minimizer: text, first and last window start, minimizer start (all in
-    ``data``), the hash of all bytes under the windows, and the minimizer's hash. ``data`` is under 16 MB.
+    ``data``), and the minimizer's hash. ``data`` is under 16 MB.
     """
     if len(data) < window:
         return None
@@ -151,8 +153,15 @@ def segments(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, window: int
     cut = np.flatnonzero((np.diff(best) != 0) | (np.diff(s) != 1)) + 1
     lo, hi = np.append(0, cut), np.append(cut, len(s)) - 1
     first, last, a = s[lo], s[hi], best[lo]
-    shape = mix((a - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64))
-    return text[lo], first, last, a, mix(h.span(first, last + window) ^ shape), grams[a]
+    return text[lo], first, last, a, grams[a]
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A cryptographic digest of 128 bits of each span of bytes, as two numbers: equal ones mean equal bytes."""
+    view = memoryview(data)
+    raw = b"".join(blake2b(view[i:j], digest_size=16).digest() for i, j in zip(start.tolist(), end.tolist()))
+    both = np.frombuffer(raw, np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def repeated_windows(group: np.ndarray, lead: np.ndarray, span: np.ndarray, contexts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:

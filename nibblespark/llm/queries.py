@@ -36,8 +36,9 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """The last column counts words under repeats of over 50 words, whatever their bytes; only the 400-byte law removes."""
+    cut = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), texts=False, words=suffix_dedup.WORDS, cut_words=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,12 @@ does not see the difference, and the pair collides there: nothing within the rad
 
 Equal fingerprints are one vertex from the start. In a bucket, a search from vertex to vertex finds the
 groups that links join, and gives one link per member, never all pairs. A bucket of over ``MOST`` distinct
-fingerprints is dealt again by a second family of masks, which covers every pair just as well.
+fingerprints is dealt again by another family of masks, which covers every pair just as well; each family
+fixes half of the bits that were free, so buckets that share ``FAMILIES`` masks differ in few bits, if at all.
+
+``near_duplicates`` links by fingerprints alone. ``near_copies`` and ``without_copies`` link texts of which 0.8
+of the five-word shingles are common: the tables give candidates, whole sets of shingles decide, and what
+lies too far apart for the tables (a fifth of all shingles may differ) is looked up by rare shingles.
 
 Null or empty text: no words, fingerprint zero, linked like any other. Null ids: the component is the
 smallest id that is not null, or null. Repeated rows are one vertex. Extra columns are ignored.
@@ -20,15 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise, small_batches, text_bytes
+from ._rows import Findings, leave, named, scanned, without
 from .components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
-#: Distinct fingerprints that one bucket may compare in a task.
-MOST = 8192
+#: Distinct fingerprints that one bucket may compare in a task, and families of masks that split larger ones.
+MOST, FAMILIES = 8192, 8
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, unsigned."""
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -39,15 +53,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     n = max(len(words) - shingle + 1, 1)
-    if shingle == 4 and n > 1:
-        grams = map(b" ".join, zip(words, words[1:], words[2:], words[3:]))
-    else:
-        grams = (b" ".join(words[i : i + shingle]) for i in range(n))
-    hashes = np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, n)
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, n, 1 << 16):
-        counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if n > 1 else [b" ".join(words[:shingle])]
+    return majority(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -75,15 +82,11 @@ def masks(radius: int = RADIUS, seed: int = 1) -> list[int]:
     return out
 
 
-def groups_within(prints: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> np.ndarray:
-    """For each fingerprint the position of the first member of its group; a group is what links reach.
-
-    With ``wide`` (rows of 64-bit parts) a link needs these within ``wide_radius`` bits too.
-    """
+def groups_within(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint the first member of its group (what links reach), and the member that it was reached from."""
     prints = prints.view(np.uint64)  # of signed numbers, NumPy counts the bits of the absolute value
-    wide = None if wide is None else wide.view(np.uint64)
     n = len(prints)
-    first = np.arange(n)
+    first, source = np.arange(n), np.arange(n)
     unseen = np.arange(n)
     while len(unseen):
         start, unseen = unseen[0], unseen[1:]
@@ -91,40 +94,36 @@ def groups_within(prints: np.ndarray, radius: int, wide: np.ndarray | None = Non
         while len(front) and len(unseen):
             part, front = front[:256], front[256:]
             close = np.bitwise_count(prints[part][:, None] ^ prints[unseen][None, :]) <= radius
-            if wide is not None:
-                i, j = np.nonzero(close)
-                apart = np.bitwise_count(wide[part[i]] ^ wide[unseen[j]]).sum(axis=1, dtype=np.int64)
-                close[i[apart > wide_radius], j[apart > wide_radius]] = False
             near = close.any(axis=0)
-            first[unseen[near]] = start
-            front = np.append(front, unseen[near])
+            found = unseen[near]
+            first[found] = start
+            source[found] = part[close[:, near].argmax(axis=0)]
+            front = np.append(front, found)
             unseen = unseen[~near]
-    return first
+    return first, source
 
 
-def _links(rows: DataFrame, radius: int, wide_radius: int) -> DataFrame:
+def _links(rows: DataFrame, radius: int, close_pairs: bool) -> DataFrame:
     """Links inside the buckets of (bucket, print, id); rows of a bucket come together and in order."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "id")
-    names = ["bucket", "print", "id", *(c for c in rows.columns if c.startswith("wide"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(bucket: np.ndarray, prints: np.ndarray, ids: np.ndarray, *wide: np.ndarray) -> pa.RecordBatch | None:
-            parts = np.column_stack(wide) if wide else None
+        def close(bucket: np.ndarray, prints: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
             edges = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
             starts = np.append(0, edges[:-1])
             u, v = [], []
-            for i, j in zip(starts.tolist(), edges.tolist()):
-                if j - i > 1:
-                    first = groups_within(prints[i:j], radius, None if parts is None else parts[i:j], wide_radius)
-                    far = np.flatnonzero(first != np.arange(j - i))
-                    u.append(ids[i + far])
-                    v.append(ids[i + first[far]])
+            several = np.flatnonzero(edges - starts > 1)
+            for i, j in zip(starts[several].tolist(), edges[several].tolist()):
+                first, source = groups_within(prints[i:j], radius)
+                far = np.flatnonzero(first != np.arange(j - i))
+                u.append(ids[i + (source if close_pairs else first)[far]])
+                v.append(ids[i + far])
             return pa.RecordBatch.from_pydict({"u": np.concatenate(u), "v": np.concatenate(v)}) if u else None
 
         held: list[np.ndarray] | None = None
         for b in batches:
-            new = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+            new = [b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "print", "id")]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             cut = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else []
             if len(cut):  # the last bucket may go on in the next batch
@@ -138,26 +137,25 @@ def _links(rows: DataFrame, radius: int, wide_radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def links(vertices: DataFrame, radius: int = RADIUS, most: int = MOST, wide_radius: int = 0) -> DataFrame:
+def links(vertices: DataFrame, radius: int = RADIUS, most: int = MOST, close_pairs: bool = False) -> DataFrame:
     """Links (u, v) of ids that join all of (print, id) within the radius, through the covering tables.
 
-    Where the vertices have columns wide0, wide1, ... links need those within ``wide_radius`` bits too.
+    ``close_pairs``: each link is itself within the radius; else links may go to the first of a group.
     """
-    wide = [c for c in vertices.columns if c.startswith("wide")]
 
     def dealt(rows: DataFrame, seed: int, *upper: str) -> DataFrame:
         tables = F.array(*(F.struct(F.lit(i).alias("t"), F.lit(m).alias("m")) for i, m in enumerate(masks(radius, seed))))
-        dealt_out = rows.select("print", "id", *wide, *upper, F.explode(tables).alias("x"))
-        return dealt_out.select("print", "id", *wide, F.xxhash64(*upper, "x.t", F.col("print").bitwiseAND(F.col("x.m"))).alias("bucket"))
+        dealt_out = rows.select("print", "id", *upper, F.explode(tables).alias("x"))
+        return dealt_out.select("print", "id", F.xxhash64(*upper, "x.t", F.col("print").bitwiseAND(F.col("x.m"))).alias("bucket"))
 
     out, rows, seed = None, dealt(vertices, 1), 1
     while True:
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most)
-        large = materialise(sizes.select("bucket"), "large-buckets") if seed < 3 else None
+        large = materialise(sizes.select("bucket"), "large-buckets") if seed < FAMILIES else None
         if large is None or not large.limit(1).count():
-            done = _links(rows, radius, wide_radius)
+            done = _links(rows, radius, close_pairs)
             return done if out is None else out.unionByName(done)
-        done = _links(rows.join(large, "bucket", "left_anti"), radius, wide_radius)
+        done = _links(rows.join(large, "bucket", "left_anti"), radius, close_pairs)
         out = done if out is None else out.unionByName(done)
         seed += 1
         rows = dealt(rows.join(large, "bucket", "left_semi"), seed, "bucket")
@@ -172,42 +170,49 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(classes, "print").select("doc_id", "print", "component_id")
 
 
-#: Near copies: words of a shingle, bits of the wide fingerprint, and the most in which it may differ. Texts
-#: that share 0.8 of their shingles have a cosine of 2 * 0.8 / 1.8 and differ in 39 of 256 bits on average.
-COPY_SHINGLE, WIDE, WIDE_RADIUS = 5, 4, 42
+# ---------------------------------------------------------------- near copies by whole sets of shingles
+
+COPY_SHINGLE = 5
 #: Common shingles come last in the order of shingles: one row of SAMPLED is counted, HOT times make one common.
+#: They only set the order in which shingles are looked up; no pair depends on them.
 SAMPLED, HOT, MOST_HOT = 8, 6, 100_000
 #: 64-bit parts of a set's parities: sets differ in as many elements as their parities in bits, or in more.
 PARITIES = 16
-#: Ids that are broadcast to find their texts.
-BROADCAST_IDS = 1_000_000
 
 
-def wide_fingerprint(text: bytes, shingle: int = COPY_SHINGLE) -> list[int]:
-    """A fingerprint of 64 * WIDE bits over the shingles, as signed 64-bit parts."""
-    from xxhash import xxh3_128_digest
+class _Words(dict):
+    """Hashes of words, each made once while it is remembered."""
 
-    words = text.lower().split()
-    if not words:
-        return [0] * WIDE
-    n = max(len(words) - shingle + 1, 1)
-    grams = [b" ".join(words[i : i + shingle]) for i in range(n)]
-    counts = np.zeros(BITS * WIDE, np.int64)
-    for i in range(0, n, 1 << 14):
-        part = grams[i : i + (1 << 14)]
-        raw = b"".join(xxh3_128_digest(g, seed) for g in part for seed in range(WIDE // 2))
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > n, bitorder="little").view("<i8").tolist()
+    MOST = 1 << 20
 
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= self.MOST:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word, SEED)
+        return h
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
-def shingle_set(text: bytes, shingle: int = COPY_SHINGLE) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes; a shorter text is one shingle."""
-    from xxhash import xxh64_intdigest
 
+def shingle_hashes(text: bytes, memory: _Words, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """64-bit hashes of all shingles, repeats included; a shorter text is one shingle."""
     words = text.lower().split()
-    n = max(len(words) - shingle + 1, 1)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if n > 1 else [b" ".join(words)]
-    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, n)).view(np.int64)
+    h = np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
+    k = min(shingle, len(h))
+    out = np.full(len(h) - k + 1 if k else 1, k, np.uint64)
+    for i in range(k):
+        out = _mixed(out) + h[i : len(h) - k + 1 + i]
+    return _mixed(out)
+
+
+def shingle_set(text: bytes, memory: _Words, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes."""
+    return np.unique(shingle_hashes(text, memory, shingle)).view(np.int64)
 
 
 def _signature(own: np.ndarray) -> int:
@@ -227,93 +232,157 @@ def _prefix(n: int) -> int:
     return n - -(-4 * n // 5) + 1
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample, sorted, with their counts. They only set an order: no pair depends on them."""
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample, sorted, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _Words()
         for b in batches:
-            for t in text_bytes(b.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t))], names=["token"])
+            sets = [shingle_set(t, memory) for t in text_bytes(b.column("text"))]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["token"])
 
-    rows = docs.where(F.crc32(F.col("doc_id").cast("string")) % SAMPLED == 0).select("text").mapInArrow(run, "token long")
-    often = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "token").limit(MOST_HOT)
+    some = rows.where(F.pmod(F.xxhash64("__block", "__row"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "token long")
+    often = some.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "token").limit(MOST_HOT)
     got = sorted((r["token"], r["n"]) for r in often.collect())
     return np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
 
 
-def _similar(docs: DataFrame, vertices: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of signatures whose whole sets have a Jaccard similarity of 0.8 or more."""
-    left, right = (sketches.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("parities").alias(f"p{k}")) for k in "ab")
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # at 0.8 the sets differ in a ninth of their sizes at most
-    pairs = materialise(pairs.distinct().join(left, "a").join(right, "b").where(9 * apart <= F.col("na") + F.col("nb")).select("a", "b"), "pairs")
-    sigs = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    needed = materialise(vertices.join(sigs, "sig", "left_semi").select(F.col("id").alias("doc_id"), "sig"), "needed")
-    sized = F.broadcast if needed.count() <= BROADCAST_IDS else lambda x: x  # by the count just taken
-    texts = docs.select("doc_id", "text").join(sized(needed.select("doc_id").distinct()), "doc_id", "left_semi")
+SKETCH = "block long, row long, doc_id long, sig long, n int, print long, parities array<long>, firsts array<long>"
+
+
+def _sketches(rows: DataFrame) -> DataFrame:
+    """Of each row: the signature of its set of shingles, the set's size, fingerprint, parities and rarest shingles."""
+    common, counts = _common(rows)
+    names = [f.split()[0] for f in SKETCH.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _Words()
         for b in batches:
+            if not b.num_rows:
+                continue
+            sigs, sizes, prints, parities, firsts = [], [], [], [], []
             for t in text_bytes(b.column("text")):
-                own = shingle_set(t)
-                yield pa.RecordBatch.from_arrays([pa.array([_signature(own)]), pa.array([own], pa.list_(pa.int64()))], names=["sig", "own"])
+                own = shingle_set(t, memory)
+                at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
+                often = np.where(common[at] == own, counts[at], 0) if len(common) else np.zeros(len(own), np.int64)
+                sigs.append(_signature(own))
+                sizes.append(len(own))
+                prints.append(majority(own.view(np.uint64)))
+                parities.append(_parities(own))
+                firsts.append(own[np.lexsort((own, often))[: _prefix(len(own))]])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (parities, firsts)]
+            numbers = [pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column("__block"), b.column("__row"), b.column("doc_id"), *numbers, *lists], names=names)
+
+    return materialise(rows.select("__block", "__row", "doc_id", "text").mapInArrow(run, SKETCH), "sketches")
 
-    sets = materialise(texts.select("text").mapInArrow(run, "sig long, own array<long>"), "sets")
+
+def _similar(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of signatures whose whole sets have a Jaccard similarity of 0.8 or more.
+
+    ``texts`` has one row for each signature: where a text of it stands, and its parities.
+    """
+    left, right = (texts.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("parities").alias(f"p{k}")) for k in "ab")
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # at 0.8 the sets differ in a ninth of their sizes at most
+    likely = pairs.distinct().join(left, "a").join(right, "b").where(9 * apart <= F.col("na") + F.col("nb"))
+    pairs = materialise(likely.select("a", "b"), "pairs")
+    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    path = leave(texts.select("sig", "block", "row").join(sigs, "sig", "left_semi").select("block", "row", "sig"), "needed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, memory = Findings(path), _Words()
+        for b in batches:
+            sigs, sets = [], []
+            for k, (block, row) in enumerate(zip(b.column("__block").to_pylist(), b.column("__row").to_pylist())):
+                if (mine := found.of(block, row)) is not None:
+                    sigs += mine.column("sig").to_pylist()
+                    sets.append(shingle_set((b.column("text")[k].as_py() or "").encode(), memory))
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "own"])
+
+    sets = materialise(rows.select("__block", "__row", "text").mapInArrow(run, "sig long, own array<long>"), "sets")
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("own").alias("y")), "b")
     # i / (x + y - i) >= 4 / 5
     enough = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
     return materialise(both.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
 
 
+def _sized(n: Column, m: Column) -> Column:
+    """Sets of such sizes can share 0.8 of their union."""
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+
+def _paired(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and (sig, part, block, row, doc_id): the component of each signature and its first row.
+
+    Texts are sets of shingles (64-bit hashes). Fingerprints over these sets go through the covering tables; their
+    close pairs are candidates. For the others: in an order of all shingles, rare ones first, two sets that share
+    0.8 of their union share one of their first fifth, so these are buckets from which no pair is lost. A bucket
+    first holds its members against one of them; then only members that are not in one component yet meet.
+    Sizes, places in the order and parities leave out pairs that can't reach 0.8; whole sets decide each link.
+    """
+    small_batches(rows.sparkSession)
+    sketches = _sketches(rows)
+    first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "block", "row", "n", "print", "parities", "firsts")).alias("x")
+    texts = materialise(sketches.groupBy("sig").agg(first).select("sig", "x.doc_id", "x.block", "x.row", "x.n", "x.print", "x.parities", "x.firsts"), "texts-once")
+
+    # the covering tables
+    prints = materialise(texts.groupBy("print").agg(F.min("sig").alias("id")), "vertices")
+    tables = links(prints, RADIUS, close_pairs=True).select(*_paired(F.col("u"), F.col("v")))
+    equal = texts.select("sig", "print").join(prints, "print").where("sig != id").select(*_paired(F.col("sig"), F.col("id")))
+
+    # the rarest shingles
+    dealt = texts.select("sig", "n", F.posexplode("firsts").alias("at", "token"))
+    centre = F.min(F.struct(F.xxhash64(F.pmod("token", F.lit(2)), "sig"), F.col("sig").alias("a"), F.col("n").alias("m"))).alias("c")  # few different centres for one text
+    buckets = dealt.groupBy("token").agg(F.count("*").alias("members"), centre).where("members > 1").select("token", F.col("c.a").alias("a"), F.col("c.m").alias("m"))
+    shared = materialise(dealt.join(buckets, "token"), "shared")
+    stars = shared.where((F.col("sig") != F.col("a")) & _sized(F.col("n"), F.col("m"))).select(*_paired(F.col("sig"), F.col("a")))
+    near = _similar(rows, texts, materialise(tables.unionByName(equal).unionByName(stars).distinct(), "candidates"))
+
+    joined = connected_components(near).withColumnRenamed("id", "sig")
+    parts = shared.join(joined, "sig", "left").select("token", "sig", "n", "at", F.coalesce("component", "sig").alias("part"))
+    parts = materialise(parts, "parts")
+    mixed = parts.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token")
+    x = parts.join(mixed, "token", "left_semi")
+    y = x.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("part").alias("other"))
+    # the first element that two sets share leaves so many for the others
+    left = 9 * F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) >= 4 * (F.col("n") + F.col("m"))
+    rest = materialise(x.join(y, "token").where("sig < b AND part != other").where(_sized(F.col("n"), F.col("m")) & left).select(F.col("sig").alias("a"), "b").distinct(), "rest")
+    if rest.limit(1).count():
+        more = _similar(rows, texts, rest)
+        if more.limit(1).count():
+            known = joined.select(F.col("sig").alias("u"), F.col("component").alias("v"))
+            joined = connected_components(known.unionByName(more)).withColumnRenamed("id", "sig")
+    classes = texts.select("sig", "doc_id", "block", "row").join(joined, "sig", "left")
+    return sketches, classes.select("sig", F.coalesce("component", "sig").alias("part"), "doc_id", "block", "row")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id of each row; links are all pairs that share 0.8 of their five-word shingles.
 
-    Texts are sets of shingles (64-bit hashes). In an order of all shingles, rare ones first, two such sets share
-    one of their first fifth, so these are the buckets and no pair is lost. Each bucket first holds its members
-    against one of them; then only members that are not in one component yet meet. Sizes, places in the order and
-    parities leave out pairs that can't reach 0.8; whole sets decide each link.
+    Texts without words are copies of each other. Rows of equal texts are one vertex, whatever their ids.
     """
-    small_batches(docs.sparkSession)
-    common, counts = _common(docs)
+    sketches, classes = _copies(named(scanned(docs)))
+    least = classes.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    of = classes.join(least, "part").select("sig", "component_id")
+    return sketches.select("doc_id", "sig").join(of, "sig").select("doc_id", "component_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                sigs, sizes, firsts, parities = [], [], [], []
-                for t in text_bytes(b.column("text")):
-                    own = shingle_set(t)
-                    at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
-                    often = np.where(common[at] == own, counts[at], 0) if len(common) else np.zeros(len(own), np.int64)
-                    sigs.append(_signature(own))
-                    sizes.append(len(own))
-                    parities.append(_parities(own))
-                    firsts.append(own[np.lexsort((own, often))[: _prefix(len(own))]])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))], names=["doc_id", "sig", "n", "firsts", "parities"])
-
-    prints = materialise(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig long, n int, firsts array<long>, parities array<long>"), "prints")
-    vertices = materialise(prints.groupBy("sig").agg(F.min("doc_id").alias("id")), "vertices")
-    known = prints.where(F.col("doc_id").isNotNull())
-    sketches = materialise(known.groupBy("sig").agg(F.min("n").alias("n"), F.min("parities").alias("parities")), "sketches")
-    one = known.groupBy("sig").agg(F.min(F.struct("n", "firsts")).alias("x"))
-    dealt = one.select("sig", F.col("x.n").alias("n"), F.posexplode("x.firsts").alias("at", "token"))
-    members = dealt.withColumn("members", F.count("*").over(Window.partitionBy("token")))
-    shared = materialise(members.where("members > 1").select("token", "sig", "n", "at"), "shared")
-
-    # few different centres for one text: of two orders, that of the bucket
-    centre = F.min(F.struct(F.xxhash64(F.pmod("token", F.lit(2)), "sig"), F.col("sig").alias("a"), F.col("n").alias("m"))).alias("c")
-    stars = shared.join(shared.groupBy("token").agg(centre), "token").where("sig != c.a AND 5 * least(n, c.m) >= 4 * greatest(n, c.m)")
-    first = _similar(docs, vertices, sketches, stars.select(F.least("sig", "c.a").alias("a"), F.greatest("sig", "c.a").alias("b")))
-
-    joined = connected_components(first).withColumnRenamed("id", "sig")
-    rows = materialise(shared.join(joined, "sig", "left").select("token", "sig", "n", "at", F.coalesce("component", "sig").alias("part")), "parts")
-    mixed = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token")
-    x = rows.join(mixed, "token", "left_semi")
-    y = x.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("part").alias("other"))
-    # the first element that two sets share leaves so many for the others
-    rest = x.join(y, "token").where("sig < b AND part != other AND 5 * least(n, m) >= 4 * greatest(n, m) AND 9 * least(n - at, m - place) >= 4 * (n + m)")
-    second = _similar(docs, vertices, sketches, rest.select(F.col("sig").alias("a"), "b"))
 
-    ends = connected_components(first.unionByName(second)).withColumnRenamed("id", "sig")
-    classes = vertices.join(ends, "sig", "left").select("sig", "id", F.coalesce("component", "sig").alias("part"))
-    least = classes.groupBy("part").agg(F.min("id").alias("component_id"))
-    return prints.join(classes.join(least, "part").select("sig", "component_id"), "sig").select("doc_id", "component_id")
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one row of each group of near copies: that of the smallest id.
+
+    Rows are told apart by their place in the input, not by id: of repeated rows one stays, rows without an id
+    count after all others, and a row never goes for sharing its id with a copy. Texts without words are one group.
+    """
+    rows = named(scanned(docs))
+    sketches, classes = _copies(rows)
+    kept = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "block", "row")).alias("x")
+    stays = classes.groupBy("part").agg(kept).select("x.block", "x.row")
+    gone = sketches.select("block", "row").join(stays, ["block", "row"], "left_anti")
+    return without(docs, rows, leave(gone, "copies"))

@@ -3,17 +3,19 @@
 A byte goes if a ``WINDOW``-byte string over it starts anywhere else too, in the same text or another.
 
 1. Every window has a minimizer, so equal windows have equal minimizers at equal distance. Each task cuts
-   its texts into segments (runs of windows with one minimizer) and hashes the bytes under each.
-2. Segments of equal bytes are one class. In a class of two or more all windows repeat. Classes are counted
-   by partial aggregation, so thousands of copies leave one row per task.
+   its texts into segments (runs of windows with one minimizer).
+2. Segments of equal bytes are one class; a cryptographic digest of 128 bits tells, not a hash. In a class of
+   two or more all windows repeat. Classes are counted by partial aggregation, so thousands of copies leave one
+   row per task.
 3. Classes that share a minimizer string with other classes may share windows in part. Their bytes come
-   together by minimizer and are suffix sorted on both sides of it; common extensions give the windows that
-   repeat. Where a minimizer has over ``MOST`` classes, their windows are counted by hash instead, which
-   splits the group over all tasks.
+   together by minimizer and are suffix sorted on both sides of it; common extensions, held against the bytes,
+   give the windows that repeat. Where a minimizer has over ``MOST`` classes, their windows are counted by such
+   digests instead, which splits the group over all tasks.
 4. Each task reads its texts again with the spans found for its rows, and cuts them out.
 
-With ``words``, runs of so many equal words that repeat go too, however short in bytes: the same steps run
-over the words' 32-bit hashes, and what is found is rounded inwards to whole words.
+With ``words``, runs of so many equal words that repeat are found too, however short in bytes: the same steps
+run over the words' 32-bit hashes, and what is found is rounded inwards to whole words. Words are runs of
+letters, digits and characters beyond ASCII, A-Z as a-z, so signs and line ends between them don't matter.
 
 Texts are never shuffled: rows are named by file and row number, and what is found for a block of rows is
 written to a folder of the block in the shared scratch folder, where the tasks that read those rows find it.
@@ -31,31 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, scratch_path, small_batches, text_bytes
-from ._suffixes import Hashes, mix, repeated_windows, segments
+from ._common import materialise, small_batches, text_bytes
+from ._rows import Findings, leave, named, scanned
+from ._suffixes import digests, repeated_windows, segments
 
 WINDOW, GRAM = 400, 64
+#: Words of the shortest passage that counts as repeated, however few bytes it has.
+WORDS = 51
 #: Classes of one minimizer that a task sorts; bytes that it sorts at once; bytes that are cut at once.
 MOST, SORT_BYTES, CUT_BYTES = 4096, 4 << 20, 4 << 20
-#: Rows of an input file whose findings lie in one folder.
-BLOCK_ROWS = 1 << 14
-
-
-def _plain_scan(docs: DataFrame) -> bool:
-    return docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    """The rows with a name that any later scan gives them again: block and row of the block."""
-    row = F.col("_metadata.row_index")
-    block = F.xxhash64(F.col("_metadata.file_path"), F.floor(row / BLOCK_ROWS).cast("long"))
-    return docs.select("*", block.alias("__block"), (row % BLOCK_ROWS).cast("long").alias("__row"))
 
 
 def _where(first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -92,62 +81,26 @@ def _segments(named: DataFrame, window: int, gram: int) -> DataFrame:
             for rows, offsets, parts in _pieces(text_bytes(b.column("text")), window, CUT_BYTES):
                 lens = np.fromiter(map(len, parts), np.int64, len(parts))
                 starts = np.cumsum(lens) - lens
-                got = segments(np.frombuffer(b"".join(parts), np.uint8), starts, lens, window, gram)
+                joined = b"".join(parts)
+                got = segments(np.frombuffer(joined, np.uint8), starts, lens, window, gram)
                 if got is None:
                     continue
-                k, first, last, anchor, content, key = got
+                k, first, last, anchor, key = got
+                content, check = digests(joined, first, last + window)
                 at, shift = np.array(rows)[k], np.array(offsets)[k] - starts[k]
-                yield _gathered(block[at], row[at], _where(first + shift, last + shift, anchor + shift), content.view(np.int64), key.view(np.int64))
+                yield _gathered(block[at], row[at], _where(first + shift, last + shift, anchor + shift), content, check, key.view(np.int64))
 
-    return named.select("__block", "__row", "text").mapInArrow(run, "block long, content long, gram long, rows array<long>, ats array<long>")
+    return named.select("__block", "__row", "text").mapInArrow(run, "block long, content long, check long, gram long, rows array<long>, ats array<long>")
 
 
-def _gathered(block: np.ndarray, row: np.ndarray, at: np.ndarray, content: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
+def _gathered(block: np.ndarray, row: np.ndarray, at: np.ndarray, content: np.ndarray, check: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
     """One row for equal segments of a handful of texts, with all their places: what is common is small before any shuffle."""
-    order = np.lexsort((at, row, content, gram, block))
-    block, row, at, content, gram = (x[order] for x in (block, row, at, content, gram))
-    starts = np.append(0, np.flatnonzero((np.diff(block) != 0) | (np.diff(gram) != 0) | (np.diff(content) != 0)) + 1)
+    order = np.lexsort((at, row, check, content, gram, block))
+    block, row, at, content, check, gram = (x[order] for x in (block, row, at, content, check, gram))
+    starts = np.append(0, np.flatnonzero(np.any([np.diff(x) != 0 for x in (block, gram, content, check)], axis=0)) + 1)
     ends = pa.array(np.append(starts, len(block)), pa.int32())
     lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (row, at)]
-    return pa.RecordBatch.from_arrays([*(pa.array(x[starts]) for x in (block, content, gram)), *lists], names=["block", "content", "gram", "rows", "ats"])
-
-
-def _flat(found: pa.Table) -> pa.Table:
-    """Findings with lists of places (rows, ats) as one row for each."""
-    if "rows" not in found.column_names:
-        return found
-    return pa.table({"row": pc.list_flatten(found.column("rows")), "at": pc.list_flatten(found.column("ats"))})
-
-
-class _Findings:
-    """What was found for the rows of a block; keeps the block in use."""
-
-    def __init__(self, path: str):
-        self.system, self.folder = fs.FileSystem.from_uri(path)
-        self.block: int | None = None
-        self.rows: np.ndarray | None = None
-        self.table: pa.Table | None = None
-
-    def of(self, block: int, row: int) -> pa.Table | None:
-        if block != self.block:
-            self.block, self.table = block, None
-            folder = f"{self.folder}/block={block}"
-            if self.system.get_file_info(folder).type == fs.FileType.Directory:
-                files = [f.path for f in self.system.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")]
-                self.table = pa.concat_tables(_flat(pq.read_table(f, filesystem=self.system, partitioning=None)) for f in sorted(files)).sort_by("row")
-                self.rows = self.table.column("row").to_numpy()
-        if self.table is None:
-            return None
-        i, j = np.searchsorted(self.rows, [row, row + 1])
-        return self.table.slice(i, j - i) if j > i else None
-
-
-def _leave(rows: DataFrame, tag: str) -> str:
-    """Write findings (block, row, ...) into a folder for each block."""
-    path = scratch_path(rows.sparkSession, tag)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(parts, "block").write.option("compression", "zstd").partitionBy("block").parquet(path)
-    return path
+    return pa.RecordBatch.from_arrays([*(pa.array(x[starts]) for x in (block, content, check, gram)), *lists], names=["block", "content", "check", "gram", "rows", "ats"])
 
 
 CONTEXT = "gram long, block long, row long, at long, classes long, context binary"
@@ -157,7 +110,7 @@ def _contexts(named: DataFrame, path: str, window: int) -> DataFrame:
     """The bytes of the segments named in the findings at ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Findings(path)
+        found = Findings(path)
         for b in batches:
             out: list[tuple] = []
             for block, row, t in zip(b.column("__block").to_pylist(), b.column("__row").to_pylist(), text_bytes(b.column("text"))):
@@ -222,32 +175,40 @@ def _sorted_spans(contexts: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _counted_spans(contexts: DataFrame, window: int) -> DataFrame:
-    """The same for minimizers of very many classes: windows counted by hash, over all tasks."""
+    """The same for minimizers of very many classes: windows counted by a digest of their bytes, over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column("at").to_numpy()
-            first, last, _ = _parts_of(at)
-            for g, block, row, i, j, c in zip(b.column("gram").to_pylist(), b.column("block").to_pylist(), b.column("row").to_pylist(), first.tolist(), last.tolist(), b.column("context").to_pylist()):
-                k = np.arange(j - i + 1)
-                h = Hashes(np.frombuffer(c, np.uint8))
-                n = len(k)
-                yield pa.RecordBatch.from_pydict({"hash": mix(h.span(k, k + window)).view(np.int64), "gram": np.full(n, g), "block": np.full(n, block), "row": np.full(n, row), "first": i + k, "last": i + k + window})
+            first, last, _ = _parts_of(b.column("at").to_numpy())
+            contexts = b.column("context").to_pylist()
+            lens = np.fromiter(map(len, contexts), np.int64, len(contexts))
+            n = last - first + 1
+            i = np.repeat(np.arange(len(n)), n)
+            k = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            start = (np.cumsum(lens) - lens)[i] + k
+            content, check = digests(b"".join(contexts), start, start + window)
+            names = (*CLASS, *(x.split()[0] for x in SPAN.split(", ")))
+            columns = (b.column("gram").to_numpy()[i], content, check, b.column("block").to_numpy()[i], b.column("row").to_numpy()[i], first[i] + k, first[i] + k + window)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    windows = contexts.mapInArrow(run, f"gram long, content long, check long, {SPAN}")
+    again = windows.groupBy(*CLASS).agg(F.count("*").alias("n")).where("n > 1").select(*CLASS)
+    return windows.join(again, CLASS, "left_semi").select("block", "row", "first", "last")
 
-    windows = contexts.mapInArrow(run, f"hash long, gram long, {SPAN}")
-    again = windows.groupBy("hash", "gram").agg(F.count("*").alias("n")).where("n > 1").select("hash", "gram")
-    return windows.join(again, ["hash", "gram"], "left_semi").select("block", "row", "first", "last")
+
+#: What tells classes of equal segments apart: a 128-bit digest of their bytes, and the minimizer's hash.
+CLASS = ["gram", "content", "check"]
 
 
 def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Bytes that go: whole segments (block, rows, ats), and other spans (block, row, first, last). They may overlap."""
     cut = materialise(_segments(named, window, gram), "segments")
     one = F.struct("block", F.get("rows", F.lit(0)).alias("row"), F.get("ats", F.lit(0)).alias("at"))
-    classes = materialise(cut.groupBy("gram", "content").agg(F.sum(F.size("rows")).alias("n"), F.min(one).alias("one")), "classes")
-    whole = cut.join(classes.where("n > 1").select("gram", "content"), ["gram", "content"], "left_semi").select("block", "rows", "ats")
+    classes = materialise(cut.groupBy(*CLASS).agg(F.sum(F.size("rows")).alias("n"), F.min(one).alias("one")), "classes")
+    whole = cut.join(classes.where("n > 1").select(*CLASS), CLASS, "left_semi").select("block", "rows", "ats")
     shared = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
     partial = classes.join(shared, "gram").select("gram", "one.block", "one.row", "one.at", "classes")
-    contexts = _contexts(named, _leave(partial, "partial"), window)
+    contexts = _contexts(named, leave(partial, "partial"), window)
     spans = _sorted_spans(contexts.where(F.col("classes") <= most), window, gram)
     if shared.where(F.col("classes") > most).limit(1).count():
         hot = materialise(contexts.where(F.col("classes") > most), "hot-contexts")
@@ -257,28 +218,47 @@ def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
 
 #: Bytes of a word's hash.
 CODE = 4
+#: What counts in words: letters, digits and all beyond ASCII; A-Z as a-z. The rest separates.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+class _Codes(dict):
+    """Hashes of words, each made once while it is remembered."""
+
+    MOST = 1 << 20
+
+    def __missing__(self, word: bytes) -> bytes:
+        from xxhash import xxh32_digest
+
+        if len(self) >= self.MOST:
+            self.clear()
+        h = self[word] = xxh32_digest(word)
+        return h
 
 
 def _coded(named: DataFrame) -> DataFrame:
     """The named rows with each word of the text as its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh32_digest
-
+        memory = _Codes()
         for b in batches:
-            codes = [b"".join(map(xxh32_digest, t.split())) for t in text_bytes(b.column("text"))]
+            codes = [b"".join(map(memory.__getitem__, t.translate(_PLAIN).split())) for t in text_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("__block"), b.column("__row"), pa.array(codes, pa.binary())], names=["__block", "__row", "text"])
 
     return named.select("__block", "__row", "text").mapInArrow(run, "__block long, __row long, text binary")
 
 
-def _bytes_of_words(text: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
-    """Spans of a text's word hashes as bytes of the text, each up to the word after it."""
+def _runs_of_words(spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Runs of whole words, of so many or more, under spans of word hashes that repeat."""
     runs = [(-(-i // CODE), j // CODE) for i, j in merged(spans)]
-    runs = [(i, j) for i, j in runs if j - i >= words]
+    return [(i, j) for i, j in runs if j - i >= words]
+
+
+def _bytes_of_words(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of words as bytes of the text, each up to the word after it."""
     if not runs:
         return []
-    starts = [*(m.start() for m in re.finditer(rb"\S+", text)), len(text)]
+    starts = [*(m.start() for m in re.finditer(rb"[^ ]+", text.translate(_PLAIN))), len(text)]
     return [(starts[i], starts[j]) for i, j in runs]
 
 
@@ -293,20 +273,27 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True, most: int = MOST, words: int = 0) -> DataFrame:
+#: The columns that remove_repeats adds.
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_passage_words")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True, most: int = MOST, words: int = 0, cut_words: bool = True) -> DataFrame:
     """Every row with n_bytes, n_removed, n_spans, spans and kept_sha256, and with the cut text if ``texts``.
 
-    A character of which a part was removed goes from the cut text; the digest is of the kept bytes.
+    With ``words`` also n_passage_words: the words in runs of so many or more that stand elsewhere too; these
+    runs are removed as well if ``cut_words``. A character of which a part was removed goes from the cut text;
+    the digest is of the kept bytes.
     """
+    if window - gram > 1023 or CODE * words - gram > 1023 or window <= gram or 0 < CODE * words <= gram:
+        raise ValueError(f"windows must be longer than {gram} bytes, by 1023 at most")
     small_batches(docs.sparkSession)
-    rows = docs if _plain_scan(docs) else materialise(docs, "texts")
-    named = _named(rows)
-    wholes, parts = map(_leave, repeated_spans(named, window, gram, most), ("wholes", "spans"))
-    again = tuple(map(_leave, repeated_spans(_coded(named), CODE * words, gram, most), ("word-wholes", "word-spans"))) if words else ()
-    own = {"text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"}
+    rows = named(scanned(docs))
+    wholes, parts = map(leave, repeated_spans(rows, window, gram, most), ("wholes", "spans"))
+    again = tuple(map(leave, repeated_spans(_coded(rows), CODE * words, gram, most), ("word-wholes", "word-spans"))) if words else ()
+    own = {"text", *RESULTS} - (set() if words else {"n_passage_words"})
     keep = [c for c in docs.columns if c.lower() not in own] if texts else ["doc_id"]
 
-    def spans_of(whole: _Findings, part: _Findings, block: int, row: int, window: int) -> list[tuple[int, int]]:
+    def spans_of(whole: Findings, part: Findings, block: int, row: int, window: int) -> list[tuple[int, int]]:
         spans = []
         if (mine := whole.of(block, row)) is not None:
             first, last, _ = _parts_of(mine.column("at").to_numpy())
@@ -316,30 +303,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
         return spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, coded = (_Findings(wholes), _Findings(parts)), tuple(map(_Findings, again))
+        found, coded = (Findings(wholes), Findings(parts)), tuple(map(Findings, again))
         for b in batches:
             if not b.num_rows:
                 continue
-            out = []
+            out, passages = [], []
             for block, row, t in zip(b.column("__block").to_pylist(), b.column("__row").to_pylist(), text_bytes(b.column("text"))):
                 spans = spans_of(*found, block, row, window)
-                if coded:
-                    spans += _bytes_of_words(t, spans_of(*coded, block, row, CODE * words), words)
-                gone = merged(spans)
+                runs = _runs_of_words(spans_of(*coded, block, row, CODE * words), words) if coded else []
+                gone = merged(spans + _bytes_of_words(t, runs) if cut_words else spans)
+                passages.append(sum(j - i for i, j in runs))
                 kept = t
                 if gone:
                     ends = [0, *(x for s in gone for x in s), len(t)]
                     kept = b"".join(t[i:j] for i, j in zip(ends[::2], ends[1::2]))
-                runs = [{"first": i, "last": j} for i, j in gone]
-                out.append((kept.decode("utf-8", "ignore") if texts else "", len(t), len(t) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), runs))
-            text, n, removed, count, digest, runs = zip(*out)
+                cuts = [{"first": i, "last": j} for i, j in gone]
+                out.append((kept.decode("utf-8", "ignore") if texts else "", len(t), len(t) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), cuts))
+            text, n, removed, count, digest, cuts = zip(*out)
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-            extra = {"n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept_sha256": pa.array(digest), "spans": pa.array(runs, kind)}
+            extra = {"n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept_sha256": pa.array(digest), "spans": pa.array(cuts, kind)}
+            if words:
+                extra["n_passage_words"] = pa.array(passages, pa.int64())
             if texts:  # a text that was null stays so
                 extra["text"] = pa.array(text, mask=~b.column("text").is_valid().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *extra.values()], names=[*keep, *extra])
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     stats = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>"
-    schema = ", ".join([*fields, stats, *(["text string"] if texts else [])])
-    return named.select(*keep, "text", "__block", "__row").mapInArrow(run, schema)
+    schema = ", ".join([*fields, stats, *(["n_passage_words long"] if words else []), *(["text string"] if texts else [])])
+    return rows.select(*keep, "text", "__block", "__row").mapInArrow(run, schema)

@@ -174,8 +174,17 @@ def brute_spans(texts, window):
     return gone
 
 
-@pytest.mark.parametrize("most", [4096, 1])
-def test_repeats_like_brute_force(spark, most):
+@pytest.mark.parametrize("most,cut", [(4096, 64), (1, 64), (4096, 3), (1, 3)])
+def test_repeats_like_brute_force(spark, most, cut, monkeypatch):
+    """Also where minimizers' hashes collide all the time: ``cut`` bits are left of them."""
+    keep = np.uint64((1 << cut) - 1)
+    exact = _suffixes.segments
+
+    def collide(*x):
+        got = exact(*x)
+        return got and (*got[:4], got[4] & keep)
+
+    monkeypatch.setattr(suffix_dedup, "segments", collide)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 9)))
     passages = [" ".join(word() for _ in range(30)) for _ in range(6)]
@@ -340,15 +349,59 @@ def test_damaged_records_are_noticed():
 # ---------------------------------------------------------------- 9 benchmark
 
 
+def bench(spark, docs, items):
+    return decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+
+
+def test_every_overlap_holds_a_seed():
+    """All patterns of equal and replaced words that just count as an overlap, for every length of an item."""
+    from itertools import combinations
+
+    patterns = set()
+    for n in [*range(decontamination.SHORT, 18), 60]:
+        equal = min(decontamination.MATCHED, -(-n * 4 // 5))
+        for length in range(equal, min(n, equal * 10 // 7) + 1):
+            for replaced in combinations(range(1, length - 1), length - equal):
+                patterns.add(tuple(i not in replaced for i in range(length)))
+    assert len(patterns) > 4000
+    for p in patterns:
+        assert any(s + m[-1] < len(p) and all(p[s + k] for k in m) for s in range(len(p)) for m in decontamination.MASKS)
+
+
 def test_substitutions_are_tolerated(spark):
+    """At 0 to 20 % of words replaced, all that keep enough equal words are found."""
     rng = random.Random(9)
-    item = [f"w{i}" for i in range(40)]
-    docs = []
-    for i in range(40):
+    docs, items, want = [], [], set()
+    for i in range(200):
+        item = [f"w{i}x{k}" for k in range(rng.randrange(14, 60))]
         words = list(item)
-        for k in rng.sample(range(40), 3):
-            words[k] = f"x{k}"
-        docs.append((i, " ".join(["noise"] * i + words + ["end"])))
-    docs += [(100 + i, " ".join(rng.sample(item, 40))) for i in range(10)] + [(200, " ".join(item[:9]))]
-    got = {r["doc_id"] for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
-    assert got == set(range(40))
+        for k in rng.sample(range(len(item)), rng.randrange(len(item) // 5 + 1)):
+            words[k] = "other"
+        docs.append((i, " ".join(["noise"] * (i % 7) + words + ["end"])))
+        items.append((i, " ".join(item)))
+        equal = [k for k, (a, b) in enumerate(zip(item, words)) if a == b]
+        if any(10 * (b - a) >= 7 * (equal[b - 1] - equal[a] + 1) for a in range(len(equal)) for b in range(a + 12, len(equal) + 1)):
+            want.add((i, i))
+    docs += [(1000 + i, " ".join(rng.sample(items[i][1].split(), 14))) for i in range(10)]
+    got = {(r["doc_id"], r["item_id"]) for r in bench(spark, docs, items).collect()}
+    assert got == want and len(want) >= 196
+
+
+def test_more_overlap_never_hides_an_overlap(spark):
+    """Two far blocks of one item, a block and a stray seed, and an item of a few words."""
+    item = [f"w{k}" for k in range(160)]
+    filler = [f"f{k}" for k in range(160)]
+    two = item[:15] + filler[:40] + item[55:70]
+    stray = item[:30] + filler[:90] + item[120:133]
+    short = filler[:5] + ["what", "is", "it", "called"] + filler[5:9]
+    got = bench(spark, [(1, " ".join(two)), (2, " ".join(stray)), (3, " ".join(short)), (4, " ".join(item[:11]))], [(1, " ".join(item)), (2, "What is it called?")])
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 15, 0, 14), (2, 1, 30, 0, 29), (3, 2, 4, 5, 8)]
+
+
+def test_the_shuffled_side_finds_the_same(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([3, 12, 40, 300])))) for i in range(40)]
+    docs = [(i, " ".join([f"n{k}" for k in range(rng.randrange(400))] + items[i % 40][1].split()[rng.randrange(20) :] + ["z"] * rng.randrange(300))) for i in range(120)]
+    small = sorted(map(tuple, bench(spark, docs, items).collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, bench(spark, docs, items).collect())) == small and len(small) > 40
