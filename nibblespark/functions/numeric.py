@@ -49,12 +49,16 @@ def is_inf(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) == INF)
 
 
+#: From here on every double is whole; below it fits a 64-bit integer.
+WHOLE = float(1 << 53)
+
+
 def trunc(x: Column) -> Column:
-    return F.when(F.isnan(x) | is_inf(x), x).otherwise(F.signum(x) * F.floor(F.abs(x)).cast("double"))
+    return F.when(F.isnan(x) | (F.abs(x) >= WHOLE), x).otherwise(F.signum(x) * F.floor(F.abs(x)).cast("double"))
 
 
 def _whole(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda x: F.when(F.isnan(x) | is_inf(x), x).otherwise(f(x).cast("double"))
+    return lambda x: F.when(F.isnan(x) | (F.abs(x) >= WHOLE), x).otherwise(f(x).cast("double"))
 
 
 UNARY: dict[str, Callable[[Column], Column]] = {
@@ -110,7 +114,11 @@ def floor_divide(x: Column, y: Column) -> Column:
 
 def remainder(x: Column, y: Column) -> Column:
     """With the sign of the divisor."""
-    return F.when(y == 0, nan()).otherwise(x - F.floor(F.try_divide(x, y)).cast("double") * y)
+    x, y = x.cast("double"), y.cast("double")
+    left = F.try_mod(x, y)  # exact, with the sign of x
+    moved = F.when((left != 0) & ((left < 0) != (y < 0)), left + y).otherwise(left)
+    unmoved = F.when((x < 0) != (y < 0), F.when(x == 0, x).otherwise(y)).otherwise(x)
+    return F.when(F.isnan(x) | F.isnan(y) | (y == 0) | is_inf(x), nan()).when(is_inf(y), unmoved).otherwise(moved)
 
 
 def minimum(x: Column, y: Column) -> Column:
@@ -237,6 +245,32 @@ def complex_abs(x: Column) -> Column:
     return F.hypot(x["re"], x["im"])
 
 
+def complex_exp(x: Column) -> Column:
+    size = F.exp(x["re"])
+    return complex_(size * F.cos(x["im"]), size * F.sin(x["im"]))
+
+
+def complex_sqrt(x: Column) -> Column:
+    """The root with a real part that isn't negative; the sign of zero in ``im`` decides on the negative axis."""
+    size = complex_abs(x)
+    re, im = F.sqrt((size + x["re"]) / 2), F.sqrt(F.greatest(size - x["re"], F.lit(0.0)) / 2)
+    return complex_(re, F.when(signbit(x["im"]), -im).otherwise(im))
+
+
+#: On complex structs: what ``UNARY`` has by the same names for real numbers.
+COMPLEX_UNARY: dict[str, Callable[[Column], Column]] = {
+    "abs": complex_abs,
+    "conj": complex_conj,
+    "exp": complex_exp,
+    "imag": lambda x: x["im"],
+    "negative": lambda x: complex_(-x["re"], -x["im"]),
+    "positive": lambda x: x,
+    "real": lambda x: x["re"],
+    "sqrt": complex_sqrt,
+    "square": lambda x: complex_multiply(x, x),
+}
+
+
 # ---------------------------------------------------------------- dtypes (on the driver)
 
 _INTEGERS = {"uint8": (0, 255), "int8": (-128, 127), "uint16": (0, 65535), "int16": (-32768, 32767), "uint32": (0, 2**32 - 1), "int32": (-(2**31), 2**31 - 1), "uint64": (0, 2**64 - 1), "int64": (-(2**63), 2**63 - 1)}

@@ -27,6 +27,14 @@ def with_positions(df: DataFrame, order: list[str], bucket: Column, name: str =
     return numbered.withColumn(name, (F.col("__before") + F.col("__inside") - 1).cast("long")).drop("__bucket", "__inside", "__before")
 
 
+def range_bucket(df: DataFrame, column: str, parts: int = 64) -> Column:
+    """A monotone bucket of a numeric column: how many of some quantiles (``parts`` numbers at most) lie below."""
+    edges = sorted({float(x) for x in df.select(F.col(column).cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 1 / (4 * parts))})
+    if not edges:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(column)))
+
+
 def running(df: DataFrame, value: Column, block: Column, order: Column, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Cumulative sum in two levels: inside blocks, plus the totals of the blocks before."""
     rows = df.withColumn("__block", block).withColumn("__x", value)

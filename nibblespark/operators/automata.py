@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOORE = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+#: Rows of a grid whose hashes are joined at once.
+DIGEST_ROWS = 1024
 VON_NEUMANN = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 
 
@@ -66,11 +68,13 @@ def evolve(cells: DataFrame, step: Callable[[DataFrame], DataFrame], steps: int,
 
 
 def digest(cells: DataFrame, states: int = 256) -> DataFrame:
-    """Sum and an order-free digest of a grid: each row hashed, rows combined by their place."""
+    """Sum and an order-free digest of a grid: each row hashed, rows by blocks of ``DIGEST_ROWS``, and the blocks."""
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "s"))), lambda c: F.lpad(F.hex(c["s"].cast("long")), 2, "0")), "")
     rows = cells.groupBy("y").agg(F.sum("s").alias("sum"), F.sha2(line, 256).alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "h"))), lambda r: r["h"]), "")  # one digest per row of the grid
-    return rows.agg(F.sum("sum").cast("long").alias("sum"), F.sha2(joined, 256).alias("digest"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "h"))), lambda r: r["h"]), ""), 256)
+    blocks = rows.groupBy(F.floor(F.col("y") / DIGEST_ROWS).alias("block")).agg(F.sum("sum").alias("sum"), joined.alias("h"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda r: r["h"]), "")  # 64 letters for DIGEST_ROWS rows of the grid
+    return blocks.agg(F.sum("sum").cast("long").alias("sum"), F.sha2(whole, 256).alias("digest"))
 
 
 def neighbour_count(cells: DataFrame, rows: int, cols: int, value: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import range_bucket
+
 # ---------------------------------------------------------------- aggregates of a value column
 
 
@@ -126,14 +128,19 @@ def sort(df: DataFrame, keys: list[str], order: str, descending: bool = False, s
 def searchsorted(sorted_values: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each (k, x): how many values are below (left) and at or below (right).
 
-    Counts of distinct values are summed up once; each wanted value takes the sum of the last value at or
-    below it: a join of the wanted values with the values in one running window, not a product.
+    Counts of distinct values are summed up once, in two levels: inside ranges of values, and over the ranges.
+    Each wanted value takes the sum of the last value at or below it.
     """
     counts = sorted_values.groupBy("v").agg(F.count("*").alias("n"))
     points = counts.select(F.col("v").cast("double").alias("x"), "n", F.lit(None).cast("long").alias("k")).unionByName(wanted.select(F.col("x").cast("double").alias("x"), F.lit(0).cast("long").alias("n"), "k"))
-    below = F.sum("n").over(Window.orderBy("x").rangeBetween(Window.unboundedPreceding, 0))
-    same = F.sum("n").over(Window.partitionBy("x"))
-    placed = points.withColumn("right", below).withColumn("left", F.col("right") - same)
+    points = points.withColumn("bucket", range_bucket(points, "x"))
+    totals = points.groupBy("bucket").agg(F.sum("n").alias("total"))
+    before = F.sum("total").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # one row per range
+    inside = F.sum("n").over(Window.partitionBy("bucket").orderBy("x").rangeBetween(Window.unboundedPreceding, 0))
+    same = F.sum("n").over(Window.partitionBy("bucket", "x"))
+    offsets = totals.select("bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = points.withColumn("inside", inside).withColumn("same", same).join(offsets, "bucket")
+    placed = placed.withColumn("right", F.col("before") + F.col("inside")).withColumn("left", F.col("right") - F.col("same"))
     return placed.where(F.col("k").isNotNull()).select("k", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"))
 
 

@@ -7,7 +7,11 @@ only if smaller, runs if smaller than that, a trimmed span if smaller still, els
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
@@ -49,7 +53,14 @@ def run_lengths(starts: Column, n: Column) -> Column:
 def shortest_period(vals: Column, n: Column) -> Column:
     """The smallest period of at most 256 that repeats at least twice, or 0; a part of it may end the chunk."""
     tries = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(MAX_PERIOD), F.floor(n / 2).cast("int"))))
-    fits = F.filter(tries, lambda p: F.slice(vals, p + 1, n - p) == F.slice(vals, F.lit(1), n - p))
+    again = lambda p, i: F.get(vals, i + p) == F.get(vals, i)
+
+    def likely(p: Column) -> Column:
+        """A few places, which rule out nearly all that don't fit before whole slices are held together."""
+        places = [F.lit(0), n - p - 1, F.lit(1), F.floor((n - p) / 2).cast("int"), F.floor((n - p) / 3).cast("int"), F.floor((n - p) / 5).cast("int"), F.floor((n - p) * 3 / 4).cast("int"), F.floor((n - p) * 6 / 7).cast("int")]
+        return reduce(and_, (again(p, i) for i in places))
+
+    fits = F.filter(tries, lambda p: likely(p) & (F.slice(vals, p + 1, n - p) == F.slice(vals, F.lit(1), n - p)))
     return F.when(n < 2, 0).otherwise(F.coalesce(F.get(fits, 0), F.lit(0)))
 
 
@@ -107,42 +118,99 @@ def planned(chunked: DataFrame) -> DataFrame:
     return out.withColumn("encoding", name).withColumn("stored_bytes", size.cast("long")).withColumn("has_palette", palette)
 
 
-def encoded(chunked: DataFrame) -> DataFrame:
-    """(chunk_id, n, encoding, palette, period, first, value, runs, body): only the winner's parts are filled.
+WIDTHS = range(1, 9)
+
+
+def _by_width(width: Column, f) -> Column:
+    """f of the one width that a row has: packing is an expression for each width."""
+    out = F.when(width == WIDTHS[0], f(WIDTHS[0]))
+    for bits in WIDTHS[1:]:
+        out = out.when(width == bits, f(bits))
+    return out
+
+
+def _byte(x: Column) -> Column:
+    return F.lpad(F.hex(x.cast("long")), 2, "0")
+
+
+def run_stream(runs: Column) -> Column:
+    """Runs (v, n) as bytes: the value or its place in the palette, then n - 1 in groups of seven bits, low ones first."""
+    low, rest = F.lit(127).cast("long"), lambda x, k: F.call_function("shiftright", x, F.lit(k))
+    more = lambda x: _byte(x.bitwiseAND(low) + 128)
+
+    def count(x: Column) -> Column:
+        return F.when(x < 128, _byte(x)).when(x < 1 << 14, F.concat(more(x), _byte(rest(x, 7)))).otherwise(F.concat(more(x), more(rest(x, 7)), _byte(rest(x, 14))))
+
+    return F.unhex(F.array_join(F.transform(runs, lambda r: F.concat(_byte(r["v"]), count(r["n"].cast("long") - 1))), ""))
 
-    ``body`` holds 8-bit values or palette places that are packed by ``words``.
+
+def runs_of(stream: Column, n: Column) -> Column:
+    """Runs (v, n) of a byte stream. One that breaks off, or has other than n values in all, raises."""
+    places = F.sequence(F.lit(1), F.length(stream))
+    # v, how far the count has got, its bits, whether a count is open, and the runs that are done
+    start = F.struct(F.lit(-1).alias("v"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("k"), F.array().cast("array<struct<v:int,n:int>>").alias("done"))
+
+    def step(acc: Column, i: Column) -> Column:
+        b = F.conv(F.hex(F.substring(stream, i, 1)), 16, 10).cast("int")
+        k = acc["k"] + F.call_function("shiftleft", b.bitwiseAND(F.lit(127)).cast("long"), acc["at"])
+        closed = F.struct(F.lit(-1).alias("v"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("k"), F.concat(acc["done"], F.array(F.struct(acc["v"].alias("v"), (k + 1).cast("int").alias("n")))).alias("done"))
+        further = F.struct(acc["v"].alias("v"), (acc["at"] + 7).alias("at"), k.alias("k"), acc["done"].alias("done"))
+        opened = F.struct(b.alias("v"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("k"), acc["done"].alias("done"))
+        return F.when(acc["v"] < 0, opened).when(b >= 128, further).otherwise(closed)
+
+    total = lambda runs: F.aggregate(runs, F.lit(0), lambda s, r: s + r["n"])
+    whole = lambda acc: F.when((acc["v"] < 0) & (total(acc["done"]) == n), acc["done"]).otherwise(F.raise_error(F.lit("damaged runs")).cast("array<struct<v:int,n:int>>"))
+    return F.aggregate(places, start, step, whole)
+
+
+def encoded(chunked: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, n, encoding, palette, period, first, value, stream, width, n_body, words, stored_bytes): only the winner's parts are filled.
+
+    ``words`` packs values, or places in the palette, in the ``width`` bits that the winner needs; ``stream`` is
+    the bytes of runs.
     """
     p = planned(chunked)
     is_ = lambda x: F.col("encoding") == x
-    inner = F.when(is_("trim"), F.slice("vals", F.col("trim.first") + 1, F.col("trim.last") - F.col("trim.first"))).when(is_("period"), F.slice("vals", 1, F.col("period"))).when(is_("uniform") | is_("rle"), F.array().cast("array<int>")).otherwise(F.col("vals"))
+    none = F.array().cast("array<int>")
+    inner = F.when(is_("trim"), F.slice("vals", F.col("trim.first") + 1, F.col("trim.last") - F.col("trim.first"))).when(is_("period"), F.slice("vals", 1, F.col("period"))).when(is_("uniform") | is_("rle"), none).otherwise(F.col("vals"))
     p = p.withColumn("inner", inner)
-    p = p.withColumn("palette", F.when(F.col("has_palette") & ~is_("rle"), F.array_sort(F.array_distinct("inner"))).otherwise(F.array().cast("array<int>")))
-    index = F.transform("inner", lambda x: (F.array_position("palette", x) - 1).cast("int"))
-    p = p.withColumn("body", F.when(F.size("palette") > 0, index).otherwise(F.col("inner")))
-    runs = F.when(is_("rle"), F.arrays_zip(F.transform("starts", lambda s: F.get("vals", s)).alias("v"), run_lengths(F.col("starts"), F.col("n")).alias("n")))
-    keep = [c for c in ("chunk_id",) if c in chunked.columns]
+    colors = F.when(is_("rle"), F.col("colors")).otherwise(F.array_sort(F.array_distinct("inner")))
+    p = p.withColumn("palette", F.when(F.col("has_palette"), colors).otherwise(none))
+    place = lambda x: F.when(F.size("palette") > 0, (F.array_position("palette", x) - 1).cast("int")).otherwise(x)
+    p = p.withColumn("body", F.transform("inner", place))
+    width = F.when(is_("bytes"), 8).when(F.size("palette") > 0, bit_length(F.size("palette") - 1)).otherwise(bit_length(F.coalesce(F.array_max("body"), F.lit(0))))
+    p = p.withColumn("width", F.when(F.size("body") > 0, width))
+    runs = F.arrays_zip(F.transform("starts", lambda s: place(F.get("vals", s))).alias("v"), run_lengths(F.col("starts"), F.col("n")).alias("n"))
+    names = [c for c in ("chunk_id", *keep) if c in chunked.columns]
     return p.select(
-        *keep, "n", "encoding", "palette", F.when(is_("period"), F.col("period")).alias("period"), F.when(is_("trim"), F.col("trim.first")).alias("first"),
-        F.when(is_("trim"), F.col("trim.value")).when(is_("uniform"), F.get("vals", 0)).alias("value"), runs.alias("runs"),
-        F.size("body").alias("n_body"), B.pack(F.col("body"), 8).alias("words"), "stored_bytes",
+        *names, "n", "encoding", "palette", F.when(is_("period"), F.col("period")).alias("period"), F.when(is_("trim"), F.col("trim.first")).alias("first"),
+        F.when(is_("trim"), F.col("trim.value")).when(is_("uniform"), F.get("vals", 0)).alias("value"), F.when(is_("rle"), run_stream(runs)).alias("stream"),
+        "width", F.size("body").alias("n_body"), _by_width(F.col("width"), lambda bits: B.pack(F.col("body"), bits)).alias("words"), "stored_bytes",
     )
 
 
-def decoded(records: DataFrame) -> DataFrame:
+def record_bytes(records: DataFrame) -> Column:
+    """The bytes that an ``encoded`` row really has: words, palette, runs, and what a period or a span needs to be told."""
+    words = F.when(F.col("encoding") == "bytes", F.col("n")).otherwise(8 * F.coalesce(F.size("words"), F.lit(0)))
+    told = F.when(F.col("encoding") == "trim", 6).when(F.col("encoding") == "period", 1).otherwise(0)
+    return (words + F.size("palette") + F.coalesce(F.length("stream"), F.lit(0)) + told).cast("long")
+
+
+def decoded(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(chunk_id, vals) from ``encoded`` rows."""
-    body = F.transform(B.unpack(F.col("words"), F.col("n_body"), 8), lambda x: x.cast("int"))
-    body = F.when(F.size("palette") > 0, F.transform(body, lambda i: F.get("palette", i))).otherwise(body)
-    rows = records.withColumn("__body", body)
+    color = lambda x: F.when(F.size("palette") > 0, F.get("palette", x)).otherwise(x)
+    body = _by_width(F.col("width"), lambda bits: B.unpack(F.col("words"), F.col("n_body"), bits))
+    rows = records.withColumn("__body", F.transform(F.coalesce(body, F.array().cast("array<smallint>")), lambda x: color(x.cast("int"))))
     fill = lambda k: F.array_repeat("value", k)
     every = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("__body", i % F.col("period")))
     vals = (
         F.when(F.col("encoding") == "uniform", fill(F.col("n")))
         .when(F.col("encoding") == "trim", F.concat(fill(F.col("first")), "__body", fill(F.col("n") - F.col("first") - F.col("n_body"))))
-        .when(F.col("encoding") == "rle", F.flatten(F.transform("runs", lambda r: F.array_repeat(r["v"], r["n"]))))
+        .when(F.col("encoding") == "rle", F.flatten(F.transform(runs_of(F.col("stream"), F.col("n")), lambda r: F.array_repeat(color(r["v"]), r["n"]))))
         .when(F.col("encoding") == "period", every)
         .otherwise(F.col("__body"))
     )
-    return rows.select("chunk_id", vals.alias("vals"))
+    return rows.select("chunk_id", vals.alias("vals"), *keep)
 
 
 def storage_info(plan: DataFrame) -> DataFrame:
@@ -175,16 +243,48 @@ def write_range(chunked: DataFrame, updates: DataFrame, size: int = CHUNK) -> Da
     return chunked.join(changes, "chunk_id", "left").select("chunk_id", F.when(F.col("m").isNull(), F.col("vals")).otherwise(new).alias("vals"))
 
 
-def simulated_cache(trace: DataFrame, size: int, budget_chunks: int) -> DataFrame:
+#: Steps of a trace that one task runs through.
+TRACE_BLOCK = 1 << 16
+
+
+def simulated_cache(trace: DataFrame, size: int, budget_chunks: int, block: int = TRACE_BLOCK) -> DataFrame:
     """Hits and misses of an LRU cache of chunks over an ordered trace (step, pos).
 
-    A read hits if fewer than ``budget_chunks`` other chunks were read since the chunk's last read.
+    A cache holds the chunks that were read last. So of each block of steps its last distinct chunks are enough,
+    and what the cache holds before a block comes from the blocks before by doubling: round j joins with the
+    block 2**j before. Then every block is run through on its own.
     """
-    from pyspark.sql import Window
-
-    reads = trace.select("step", F.floor(F.col("pos") / size).cast("long").alias("chunk_id"))
-    last = F.lag("step").over(Window.partitionBy("chunk_id").orderBy("step"))
-    reads = reads.withColumn("last", last)
-    between = reads.alias("a").join(reads.alias("b"), (F.col("b.step") > F.col("a.last")) & (F.col("b.step") < F.col("a.step"))).groupBy(F.col("a.step").alias("step")).agg(F.count_distinct("b.chunk_id").alias("others"))
-    hit = F.col("last").isNotNull() & (F.coalesce("others", F.lit(0)) < budget_chunks)
-    return reads.join(between, "step", "left").agg(F.count_if(hit).cast("long").alias("hits"), F.count_if(~hit).cast("long").alias("misses"))
+    reads = trace.select("step", F.floor(F.col("pos") / size).cast("long").alias("chunk_id"), F.floor(F.col("step") / block).cast("long").alias("block"))
+    last = reads.groupBy("block", "chunk_id").agg(F.max("step").alias("step"))
+    newest = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("step")))
+    held = last.withColumn("k", newest).where(F.col("k") <= budget_chunks).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", "chunk_id"))).alias("x"))
+    held = held.select("block", F.col("x.chunk_id").alias("held"))
+    ends = held.agg(F.min("block").alias("lo"), F.max("block").alias("hi")).first()
+    every = trace.sparkSession.range(ends["lo"] or 0, (ends["hi"] if ends["hi"] is not None else -1) + 2).select(F.col("id").alias("block"))
+    held = every.join(held, "block", "left").select("block", F.coalesce("held", F.array().cast("array<bigint>")).alias("held"))
+    reach = 1
+    while reach <= (ends["hi"] or 0) - (ends["lo"] or 0):
+        before = held.select((F.col("block") + reach).alias("block"), F.col("held").alias("before"))
+        older = F.array_except(F.coalesce("before", F.array().cast("array<bigint>")), F.col("held"))
+        held = held.join(before, "block", "left").select("block", F.slice(F.concat("held", older), 1, budget_chunks).alias("held"))
+        reach *= 2
+    start = held.select((F.col("block") + 1).alias("block"), F.col("held").alias("start"))
+    known = reads.join(start, "block", "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from collections import OrderedDict
+
+        pdf = pdf.sort_values("step")
+        first = pdf["start"].iloc[0]
+        cache = OrderedDict.fromkeys(reversed([] if first is None else list(first)))
+        hits = 0
+        for c in pdf["chunk_id"].tolist():
+            hits += c in cache
+            cache[c] = None
+            cache.move_to_end(c)
+            if len(cache) > budget_chunks:
+                cache.popitem(last=False)
+        return pd.DataFrame({"hits": [hits], "misses": [len(pdf) - hits]})
+
+    done = known.groupBy("block").applyInPandas(run, "hits long, misses long")
+    return done.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.sum("misses"), F.lit(0)).alias("misses"))

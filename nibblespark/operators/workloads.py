@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import range_bucket, with_positions
+
 
 def genotype_counts(calls: DataFrame, start: int | None = None, count: int | None = None) -> DataFrame:
     """Missing (-1), reference (0) and alternative (1) calls of each variant, of a region or all."""
@@ -19,9 +21,9 @@ def sample(observations: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def dictionary(df: DataFrame, key: str, order: str) -> DataFrame:
-    """An id for each key, in order of first appearance: (key, id)."""
+    """An id for each key, in order of first appearance: (key, id). Keys are numbered inside ranges of ``order``."""
     first = df.groupBy(key).agg(F.min(order).alias("__first"))
-    return first.select(key, (F.row_number().over(Window.orderBy("__first")) - 1).cast("long").alias("id"))  # one row per key
+    return with_positions(first, ["__first", key], range_bucket(first, "__first"), "id").select(key, "id")
 
 
 def patches(voxels: DataFrame, origins: DataFrame, width: int) -> DataFrame:

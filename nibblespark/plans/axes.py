@@ -118,18 +118,23 @@ def reshape_flip_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("WITH {A}, s AS (SELECT pos // 8 AS i0, pos % 8 AS i1, v FROM a WHERE pos < 64) SELECT 'tile' AS op, CAST(i0 + 8 * r AS BIGINT) AS i0, CAST(i1 + 8 * c AS BIGINT) AS i1, v FROM s, range(2) x(r), range(3) y(c) UNION ALL SELECT 'repeat', i0, i1 * 3 + r, v FROM s, range(3) x(r) UNION ALL SELECT 'tril', i0, i1, CASE WHEN i1 - i0 <= 1 THEN v ELSE 0 END FROM s UNION ALL SELECT 'triu', i0, i1, CASE WHEN i1 - i0 >= -1 THEN v ELSE 0 END FROM s UNION ALL SELECT 'stack', k * 8 + i0, i1, v * (k + 1) FROM s, range(2) x(k) UNION ALL SELECT 'concat', i0, i1 + 8 * k, v FROM s, range(2) x(k)")
+@query("""WITH {A}, s AS (SELECT pos // 64 AS i0, pos % 64 AS i1, v FROM a), n AS (SELECT max(i0) + 1 AS n FROM s)
+SELECT 'tile' AS op, CAST(i0 + n * r AS BIGINT) AS i0, CAST(i1 + 64 * c AS BIGINT) AS i1, v FROM s, n, range(2) x(r), range(3) y(c) UNION ALL SELECT 'repeat', i0, i1 * 3 + r, v FROM s, range(3) x(r)
+UNION ALL SELECT 'tril', i0, i1, CASE WHEN i1 - i0 <= 1 THEN v ELSE 0 END FROM s UNION ALL SELECT 'triu', i0, i1, CASE WHEN i1 - i0 >= -1 THEN v ELSE 0 END FROM s
+UNION ALL SELECT 'stack', i0 + n * k, i1, v * (k + 1) FROM s, n, range(2) x(k) UNION ALL SELECT 'concat', i0, i1 + 64 * c, v FROM s, range(2) y(c)""")
 def tile_repeat_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = D.from_linear(array(spark, sf_dir).where("pos < 64"), (8, 8)).withColumn("v", F.col("v").cast("long"))
+    s = _matrix(spark, sf_dir)
+    rows = -(-table(spark, sf_dir, "lineitem").count() // 64)
+    shape = (rows, 64)
     two = D.stack([s, s.withColumn("v", F.col("v") * 2)], 2)
-    joined = D.unstack(two, (2, 8, 8))[0]
+    joined = D.unstack(two, (2, *shape))[0]
     parts = {
-        "tile": D.tile(s, (8, 8), (2, 3)), "repeat": D.repeat(s, 3, 1), "tril": D.triangle(s, 1, True), "triu": D.triangle(s, -1, False),
-        "stack": two.select((F.col("i0") * 8 + F.col("i1")).alias("i0"), F.col("i2").alias("i1"), "v"), "concat": D.concat_axis([(s, (8, 8)), (joined, (8, 8))], 1),
+        "tile": D.tile(s, shape, (2, 3)), "repeat": D.repeat(s, 3, 1), "tril": D.triangle(s, 1, True), "triu": D.triangle(s, -1, False),
+        "stack": two.select((F.col("i0") * rows + F.col("i1")).alias("i0"), F.col("i2").alias("i1"), "v"), "concat": D.concat_axis([(s, shape), (joined, shape)], 1),
     }
     out = None
     for name, p in parts.items():
-        p = p.select(F.lit(name).alias("op"), "i0", "i1", "v")
+        p = p.select(F.lit(name).alias("op"), "i0", "i1", F.col("v").cast("long").alias("v"))
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -169,23 +174,24 @@ def tensordot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.tensordot(c, 3, c, 3, (1, 2), (1, 2))
 
 
-@query("WITH " + SMALL + ", d AS (SELECT i0, v FROM x WHERE i1 = i0) SELECT (SELECT CAST(sum(v) AS BIGINT) FROM d) AS trace, (SELECT CAST(max(s) AS DOUBLE) FROM (SELECT sum(abs(v)) AS s FROM x GROUP BY i1)) AS one, (SELECT CAST(max(s) AS DOUBLE) FROM (SELECT sum(abs(v)) AS s FROM x GROUP BY i0)) AS inf, (SELECT round(sqrt(sum(v * v)), 6) FROM x) AS fro, (SELECT round(pow(sum(pow(v, 3)), 1.0 / 3), 6) FROM d) AS three, (SELECT CAST(sum(a.v * b.v) AS BIGINT) FROM x a JOIN x b ON a.i1 = b.i1 AND a.i0 = 1 AND b.i0 = 2) AS dot")
+@query("WITH " + SMALL + ", d AS (SELECT i0, v FROM x WHERE i1 = i0) SELECT (SELECT CAST(sum(v) AS BIGINT) FROM d) AS trace, (SELECT CAST(max(s) AS DOUBLE) FROM (SELECT sum(abs(v)) AS s FROM x GROUP BY i1)) AS one, (SELECT CAST(max(s) AS DOUBLE) FROM (SELECT sum(abs(v)) AS s FROM x GROUP BY i0)) AS inf, (SELECT round(sqrt(sum(v * v)), 6) FROM x) AS fro, (SELECT round(pow(sum(pow(v, 3)), 1.0 / 3), 6) FROM d) AS three, (SELECT CAST(sum(a.v * b.v) AS BIGINT) FROM x a JOIN x b ON a.i1 = b.i1 AND b.i0 = (a.i0 + 1) % 24) AS dot")
 def norms_and_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _small(spark, sf_dir)
     inf = float("inf")
-    row = lambda k: x.where(F.col("i0") == k).select(F.lit(0).alias("key"), "i1", "v")
     out = linalg.trace(x).withColumnRenamed("v", "trace")
     for name, p in {"one": linalg.matrix_norm(x, 1), "inf": linalg.matrix_norm(x, inf)}.items():
         out = out.join(p.select(F.col("v").cast("double").alias(name)))
     out = out.join(linalg.matrix_norm(x).select(F.round("v", 6).alias("fro")))
     out = out.join(linalg.diagonal(x).agg(F.round(linalg.vector_norm(F.col("v"), 3), 6).alias("three")))
-    return out.join(linalg.vecdot(row(1), row(2), ["key"], "i1").select(F.col("v").alias("dot")))
+    row, after = x.withColumnRenamed("i0", "key"), x.select(F.pmod(F.col("i0") - 1, F.lit(24)).alias("key"), "i1", "v")
+    return out.join(linalg.vecdot(row, after, ["key"], "i1").agg(F.sum("v").alias("dot")))
 
 
-@query("WITH " + SMALL + ", f AS (SELECT i0, v FROM x WHERE i1 = 3), g AS (SELECT i0, v FROM x WHERE i1 = 5) SELECT f.i0, g.i0 AS i1, CAST(f.v * g.v AS BIGINT) AS v FROM f, g")
+@query("WITH " + SMALL + ", f AS (SELECT i0, sum(v) AS v FROM x GROUP BY 1), g AS (SELECT i1, sum(v) AS v FROM x GROUP BY 1) SELECT f.i0, g.i1, CAST(f.v * g.v AS BIGINT) AS v FROM f, g")
 def outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row sums times column sums."""
     x = _small(spark, sf_dir)
-    return linalg.outer(*(x.where(F.col("i1") == k).select("i0", "v") for k in (3, 5)))
+    return linalg.outer(x.groupBy("i0").agg(F.sum("v").alias("v")), x.groupBy(F.col("i1").alias("i0")).agg(F.sum("v").alias("v")))
 
 
 @query("WITH e AS (SELECT label, vec_id, unnest(embedding) AS v, unnest(range(64)) AS d FROM embeddings), m AS (SELECT label, d, avg(CAST(v AS DOUBLE)) AS v FROM e GROUP BY 1, 2) SELECT CAST(a.label AS BIGINT) AS i0, CAST(b.label AS BIGINT) AS i1, round(sum(a.v * b.v), 6) + 0.0 AS v FROM m a JOIN m b USING (d) GROUP BY 1, 2")
@@ -202,34 +208,114 @@ def dft_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A symmetric positive matrix of 6 x 6 for each supplier."""
+    """A matrix 2 I + u u' of 6 x 6 for each supplier; u has a hundredth of the quantities by part number modulo 6."""
     t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("key"), (F.col("l_partkey") % 6).alias("i0")).agg(F.sum("l_quantity").alias("q"))
+    cells = t.select("key").distinct().select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("i0"))
+    t = cells.join(t, ["key", "i0"], "left").select("key", "i0", F.coalesce("q", F.lit(0.0)).alias("q"))
     other = t.select("key", F.col("i0").alias("i1"), F.col("q").alias("r"))
     return t.join(other, "key").select("key", "i0", "i1", (F.col("q") * F.col("r") / 1e4 + F.when(F.col("i0") == F.col("i1"), 2.0).otherwise(0.0)).alias("v"))
 
 
-for _name in linalg.DECOMPOSITIONS:
+#: u, its squared length s (and that of its front), and the matrix: all decompositions follow from these in closed form.
+STACK = """k AS (SELECT DISTINCT l_suppkey AS key FROM lineitem), q AS (SELECT l_suppkey AS key, l_partkey % 6 AS i, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+u AS (SELECT key, i, coalesce(q, 0) / 100 AS u FROM (SELECT key, i FROM k, range(6) r(i)) LEFT JOIN q USING (key, i)),
+f AS (SELECT key, i, u, sum(u * u) OVER (PARTITION BY key ORDER BY i) AS s FROM u), t AS (SELECT key, sum(u * u) AS s, sum(u) AS h FROM u GROUP BY 1),
+p AS (SELECT x.key, x.i AS i0, y.i AS i1, x.u AS a, y.u AS b, y.s AS s1, 2 * (2 + y.s) / (2 + y.s - y.u * y.u) AS d1, t.s, t.h, CASE WHEN x.i = y.i THEN 1 ELSE 0 END AS one FROM f x JOIN f y USING (key) JOIN t USING (key)),
+n AS (SELECT key, s, i FROM t, range(6) r(i))"""
+_CELL = "SELECT key, '{part}' AS part, i0, i1, round({v}, {digits}) + 0.0 AS v FROM p"
+_ONE = "SELECT key, '{part}' AS part, CAST(0 AS BIGINT) AS i0, CAST(0 AS BIGINT) AS i1, round({v}, {digits}) + 0.0 AS v FROM t"
+_LINE = "SELECT key, '{part}' AS part, CAST(0 AS BIGINT) AS i0, i AS i1, round({v}, 4) + 0.0 AS v FROM n"
+_MATRIX = _CELL.format(part="product", v="a * b + 2 * one", digits=4)
+_UNIT = _CELL.format(part="unit", v="one * 1.0", digits=6)
+_FALLING, _RISING = "CASE WHEN i = 0 THEN 2 + s ELSE 2 END", "CASE WHEN i = 5 THEN 2 + s ELSE 2 END"
+#: SQL, and the digits that are compared.
+CLOSED = {
+    "cholesky": (_CELL.format(part="lower", v="CASE WHEN i0 > i1 THEN a * b / (2 + s1) * sqrt(d1) WHEN i0 = i1 THEN sqrt(d1) ELSE 0 END", digits=5), 5),
+    "det": (_ONE.format(part="det", v="64 + 32 * s", digits=4), 4),
+    "slogdet": (_ONE.format(part="sign", v="1.0", digits=6) + " UNION ALL " + _ONE.format(part="log", v="ln(64 + 32 * s)", digits=6), 6),
+    "inv": (_CELL.format(part="inverse", v="one * 0.5 - a * b / (4 + 2 * s)", digits=6), 6),
+    "pinv": (_CELL.format(part="inverse", v="one * 0.5 - a * b / (4 + 2 * s)", digits=6), 6),
+    "qr": (_MATRIX + " UNION ALL " + _UNIT, 4),
+    "svd": (_MATRIX + " UNION ALL " + _LINE.format(part="s", v=_FALLING), 4),
+    "svdvals": (_LINE.format(part="s", v=_FALLING), 4),
+    "eigh": (_MATRIX + " UNION ALL " + _LINE.format(part="values", v=_RISING), 4),
+    "eigvalsh": (_LINE.format(part="values", v=_RISING), 4),
+    "matrix_rank": (_ONE.format(part="rank", v="6.0", digits=4), 4),
+    "cond": (_ONE.format(part="cond", v="1 + s / 2", digits=5), 5),
+    "norm_2": (_ONE.format(part="norm", v="2 + s", digits=4), 4),
+    "norm_nuc": (_ONE.format(part="norm", v="12 + s", digits=4), 4),
+}
+
+
+def _times(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
+    """Matrix products by key."""
+    left, right = x.select("key", "i0", F.col("i1").alias("k"), F.col("v").alias("x")), y.select("key", F.col("i0").alias("k"), "i1", F.col("v").alias("y"))
+    return left.join(right, ["key", "k"]).groupBy("key", "i0", "i1").agg(F.sum(F.col("x") * F.col("y")).alias("v")).select("key", F.lit(name).alias("part"), "i0", "i1", "v")
+
+
+def _rebuilt(parts: DataFrame, name: str) -> DataFrame:
+    """Factors whose signs are free are multiplied out again."""
+    part = lambda n: parts.where(F.col("part") == n)
+    turned = lambda x: x.select("key", F.col("i1").alias("i0"), F.col("i0").alias("i1"), "v")
+    scaled = lambda x, s: x.join(s.select("key", "i1", F.col("v").alias("w")), ["key", "i1"]).select("key", "i0", "i1", (F.col("v") * F.col("w")).alias("v"))
+    if name == "qr":
+        return _times(part("q"), part("r"), "product").unionByName(_times(turned(part("q")), part("q"), "unit"))
+    if name == "svd":
+        return _times(scaled(part("u"), part("s")), part("vh"), "product").unionByName(part("s"))
+    if name == "eigh":
+        return _times(scaled(part("vectors"), part("values")), turned(part("vectors")), "product").unionByName(part("values"))
+    return parts
+
+
+def _rounded(df: DataFrame, digits: int) -> DataFrame:
+    return df.withColumn("v", F.round("v", digits) + 0.0)
+
+
+for _name, (_sql, _digits) in CLOSED.items():
+
+    def _run(spark: SparkSession, sf_dir: str, name: str = _name, digits: int = _digits) -> DataFrame:
+        return _rounded(_rebuilt(linalg.decompose(_stack(spark, sf_dir), name), name), digits)
+
+    query(f"WITH {STACK} {_sql}", f"linalg_{_name}")(_run)
+
+
+@query(f"WITH {STACK} SELECT key, 'x' AS part, i AS i0, CAST(0 AS BIGINT) AS i1, round(0.5 - u * h / (4 + 2 * t.s), 6) + 0.0 AS v FROM u JOIN t USING (key)")
+def linalg_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _stack(spark, sf_dir).withColumn("side", F.lit("a"))
+    b = a.where("i1 = 0").withColumn("v", F.lit(1.0)).withColumn("side", F.lit("b"))
+    return _rounded(linalg.solve(a.unionByName(b)), 6)
 
-    def _run(spark: SparkSession, sf_dir: str, name: str = _name) -> DataFrame:
-        return linalg.decompose(_stack(spark, sf_dir), name)
 
-    query(name=f"linalg_{_name}")(_run)
+#: Elements of a block that is transformed: a line of 64, or 8 rows of 8.
+BLOCK = 64
 
 
-@query()
-def linalg_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _stack(spark, sf_dir).withColumn("side", F.lit("a"))
-    b = a.where("i1 = 0").withColumn("v", F.lit(1.0)).withColumn("side", F.lit("b"))
-    return linalg.solve(a.unionByName(b))
+def fft_sql(name: str) -> str:
+    """A transform of real blocks by its definition: sums of cosines and sines."""
+    kind = name.rstrip("n2")
+    flat = kind == name
+    back = kind in ("ifft", "irfft", "ihfft")
+    cols = {"rfft": 33 if flat else 5, "ihfft": 33, "irfft": 126 if flat else 14, "hfft": 126}.get(kind, 64 if flat else 8)
+    period = {"irfft": cols, "hfft": cols}.get(kind, 64 if flat else 8)
+    rows = 1 if flat else 8
+    line = f"2 * pi() / {period} * (k2 * j2 % {period})"
+    angle = line if flat else f"(2 * pi() / 8 * (k1 * j1 % 8) + {line})"
+    last = 63 if flat else 7
+    weight = f" * CASE WHEN j2 IN (0, {last}) THEN 1 ELSE 2 END" if kind in ("irfft", "hfft") else ""
+    scale = f" / {rows * period}" if back else ""
+    im = "0.0" if kind in ("irfft", "hfft") else f"{'' if back else '-'}sum(v * sin({angle})){scale}"
+    cells = f"SELECT pos // {BLOCK} AS key, {'0' if flat else f'pos % {BLOCK} // 8'} AS j1, pos % {BLOCK}{'' if flat else ' % 8'} AS j2, v FROM a"
+    return f"WITH {{A}}, x AS ({cells}) SELECT CAST(key AS BIGINT) AS key, CAST(k1 * {cols} + k2 AS BIGINT) AS pos, round(sum(v * cos({angle}){weight}){scale}, 6) + 0.0 AS re, round({im}, 6) + 0.0 AS im FROM x, range({rows}) r(k1), range({cols}) c(k2) GROUP BY key, k1, k2"
 
 
 for _name in fourier.NAMES:
 
     def _run(spark: SparkSession, sf_dir: str, name: str = _name) -> DataFrame:
-        blocks = array(spark, sf_dir).select(F.floor(F.col("pos") / 4096).cast("long").alias("key"), (F.col("pos") % 4096).alias("pos"), F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
-        return fourier.transform(blocks, name, (64, 64) if name.rstrip("n2") != name else (4096,))
+        blocks = array(spark, sf_dir).select(F.floor(F.col("pos") / BLOCK).cast("long").alias("key"), (F.col("pos") % BLOCK).alias("pos"), F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
+        out = fourier.transform(blocks, name, (8, 8) if name.rstrip("n2") != name else (BLOCK,))
+        return out.select("key", "pos", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
 
-    query(name=f"fft_{_name}")(_run)
+    query(fft_sql(_name), f"fft_{_name}")(_run)
 
 
 @query("WITH {A}, " + WIDE + " SELECT CAST(i0 AS BIGINT) AS i0, CAST((i1 + 32) % 64 AS BIGINT) AS i1, v FROM m")

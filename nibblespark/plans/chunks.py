@@ -91,7 +91,8 @@ def storage_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 def storage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk encoded by its winner and decoded again."""
     named = _chunks(spark, sf_dir).withColumn("chunk_id", F.struct("kind", "chunk_id"))
-    back = storage.decoded(storage.encoded(named)).withColumnRenamed("vals", "again").join(named, "chunk_id")
+    records = storage.encoded(named.withColumn("was", F.col("vals")), ("was",))
+    back = storage.decoded(records, ("was",)).withColumnsRenamed({"vals": "again", "was": "vals"})
     wrong = F.size(F.filter(F.zip_with("vals", "again", lambda x, y: x.eqNullSafe(y)), lambda same: ~same)) + F.abs(F.size("vals") - F.size("again"))
     check = F.aggregate(F.transform("again", lambda v, i: v.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda acc, x: acc + x)
     return back.groupBy(F.col("chunk_id.kind").alias("kind")).agg(F.sum(F.size("again")).cast("long").alias("n"), F.sum(wrong).cast("long").alias("mismatches"), F.sum(check).alias("checksum"))
@@ -123,3 +124,10 @@ def cache_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sizes_by_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(b, ArraySpec((1000,), b).nbytes, ArraySpec((1000,), b, "word-aligned").nbytes) for b in range(1, 9)]
     return spark.createDataFrame(rows, "bits long, packed long, aligned long")
+
+
+@query(ALL + " SELECT encoding, CAST(count(*) AS BIGINT) AS chunks, CAST(sum(stored) AS BIGINT) AS record_bytes FROM pick GROUP BY 1")
+def storage_record_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of the records as they are, against those of the plan."""
+    records = storage.encoded(_chunks(spark, sf_dir).drop("kind"))
+    return records.groupBy("encoding").agg(F.count("*").alias("chunks"), F.sum(storage.record_bytes(records)).alias("record_bytes"))

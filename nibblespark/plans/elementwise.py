@@ -96,6 +96,23 @@ def ew_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).select(*KEYS, (F.round(z["re"], 6) + 0.0).alias("re"), (F.round(z["im"], 6) + 0.0).alias("im"), (F.round(N.complex_abs(N.complex_conj(a)), 6) + 0.0).alias("size"))
 
 
-@query()
+SPECIAL = "CASE l_linenumber WHEN 1 THEN CAST('nan' AS DOUBLE) WHEN 2 THEN CAST('infinity' AS DOUBLE) WHEN 3 THEN CAST('-infinity' AS DOUBLE) WHEN 4 THEN -CAST(0 AS DOUBLE) WHEN 5 THEN 1e300 WHEN 6 THEN -1e300 ELSE x END"
+
+
+@query(f"WITH {ROWS}, z AS (SELECT *, {SPECIAL} AS z FROM r) SELECT {', '.join(KEYS)}, isnan(z) AS isnan_, isinf(z) AS isinf_, isfinite(z) AS isfinite_, signbit(z) AS signbit_, NOT isnan(z) AND floor(z) = z AS floor_same, NOT isnan(z) AND ceil(z) = z AS ceil_same, NOT isnan(z) AND trunc(z) = z AS trunc_same, NOT isnan(z) AND NOT isnan(y) AND z > y AS greater_, isnan(z) OR z <> y AS not_equal_, CASE WHEN isnan(z) OR isinf(z) THEN 'nan' ELSE 'finite' END AS remainder_kind, CASE WHEN isnan(z) THEN 'nan' WHEN z = 'infinity' THEN 'inf' WHEN z = '-infinity' THEN '-inf' ELSE 'finite' END AS maximum_kind FROM z")
+def ew_special(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN, infinities, minus zero and numbers beyond 64-bit integers."""
+    n, x, y = F.col("l_linenumber"), F.col("x"), F.col("y")
+    values = {1: N.NAN, 2: N.INF, 3: -N.INF, 4: -0.0, 5: 1e300, 6: -1e300}
+    z = F.coalesce(*(F.when(n == k, F.lit(v)) for k, v in values.items()), x)
+    rows = _rows(spark, sf_dir).withColumn("z", z)
+    z, same = F.col("z"), lambda f: u[f](F.col("z")) == F.col("z")
+    return rows.select(
+        *KEYS, *(u[f](z).alias(f"{f}_") for f in ("isnan", "isinf", "isfinite", "signbit")), *((~F.isnan(z) & same(f)).alias(f"{f}_same") for f in ("floor", "ceil", "trunc")),
+        b["greater"](z, y).alias("greater_"), b["not_equal"](z, y).alias("not_equal_"), _kind(b["remainder"](z, F.lit(0.7))).alias("remainder_kind"), _kind(b["maximum"](z, F.when(n == 3, F.lit(-N.INF)).otherwise(F.lit(-2e300)))).alias("maximum_kind"),
+    )
+
+
+@query("WITH " + ROWS + f" SELECT {', '.join(KEYS)}, nextafter(x, y) AS v FROM r")
 def ew_nextafter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).select(*KEYS, N.nextafter(F.col("x"), F.col("y")).alias("v"))

@@ -12,14 +12,15 @@ from ..sources.tables import array, positioned, table
 from .catalogue import query
 
 COLS = 200
-GRID = "{A}, n AS (SELECT count(*) // 200 AS rows FROM a), g AS MATERIALIZED (SELECT pos // 200 AS y, pos % 200 AS x, v AS s FROM a, n WHERE pos < rows * 200)"
+GRID = "{A}, n AS (SELECT (count(*) + 199) // 200 AS rows FROM a), g AS MATERIALIZED (SELECT c // 200 AS y, c % 200 AS x, coalesce(v, 0) AS s FROM (SELECT unnest(range(rows * 200)) AS c FROM n) LEFT JOIN a ON pos = c)"
 NINE = "(SELECT a - 1 AS dy, b - 1 AS dx FROM range(3) p(a), range(3) q(b))"
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """The array as a torus of 200 columns; what doesn't fill a row is left out."""
-    rows = table(spark, sf_dir, "lineitem").count() // COLS
-    a = array(spark, sf_dir).where(F.col("pos") < rows * COLS)
+    """The array as a torus of 200 columns; the last row is filled with zeros."""
+    n = table(spark, sf_dir, "lineitem").count()
+    rows = -(-n // COLS)
+    a = array(spark, sf_dir).unionByName(spark.range(n, rows * COLS).select(F.col("id").alias("pos"), F.lit(0).alias("v")))
     return a.select(F.floor(F.col("pos") / COLS).cast("long").alias("y"), (F.col("pos") % COLS).alias("x"), F.col("v").cast("long").alias("s")), rows
 
 
@@ -63,7 +64,7 @@ def ca_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.transport(_grid(spark, sf_dir)[0], COLS)
 
 
-@query("WITH " + GRID + ", r AS (SELECT y, sum(s) AS sum, sha256(string_agg(printf('%02X', s), '' ORDER BY x)) AS h FROM g GROUP BY y) SELECT CAST(sum(sum) AS BIGINT) AS sum, sha256(string_agg(h, '' ORDER BY y)) AS digest FROM r")
+@query("WITH " + GRID + ", r AS (SELECT y, sum(s) AS sum, sha256(string_agg(printf('%02X', s), '' ORDER BY x)) AS h FROM g GROUP BY y) , b AS (SELECT y // 1024 AS b, sum(sum) AS sum, sha256(string_agg(h, '' ORDER BY y)) AS h FROM r GROUP BY 1) SELECT CAST(sum(sum) AS BIGINT) AS sum, sha256(string_agg(h, '' ORDER BY b)) AS digest FROM b")
 def grid_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.digest(_grid(spark, sf_dir)[0])
 
@@ -124,11 +125,12 @@ def state_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.distinct_states(words, "word")
 
 
-@query("WITH {A}, b AS (SELECT pos, v FROM a WHERE pos < 50) SELECT CAST(a.pos // 50 AS BIGINT) AS key, CAST(a.pos % 50 AS BIGINT) AS pos, a.v FROM a JOIN b ON b.pos = a.pos % 50 WHERE a.v <> b.v")
+@query("WITH {A}, b AS (SELECT i AS pos, i * 3 % 7 + 1 AS v FROM range(50) r(i)) SELECT CAST(a.pos // 50 AS BIGINT) AS key, CAST(a.pos % 50 AS BIGINT) AS pos, a.v FROM a JOIN b ON b.pos = a.pos % 50 WHERE a.v <> b.v")
 def sparse_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = array(spark, sf_dir).withColumn("v", F.col("v").cast("long"))
     state = a.select(F.floor(F.col("pos") / 50).cast("long").alias("key"), (F.col("pos") % 50).alias("pos"), "v")
-    return W.sparse_difference(state, a.where("pos < 50")).select("key", "pos", "v")
+    board = spark.range(50).select(F.col("id").alias("pos"), (F.col("id") * 3 % 7 + 1).alias("v"))
+    return W.sparse_difference(state, board).select("key", "pos", "v")
 
 
 @query("WITH {A} SELECT pos * 2 AS pos, (q * 5) & 15 AS v FROM a UNION ALL SELECT pos * 2 + 1, (q * 5) >> 4 FROM a")

@@ -61,15 +61,16 @@ def kmer_dense_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.dense_vocabulary(spark, Q.kmer_counts(_sequences(spark, sf_dir), 2), 2, LETTERS)
 
 
-WORDS = "w AS (SELECT item_id * 1000 + i AS seq_id, regexp_replace(lower(x), '[^a-z]', '', 'g') AS seq FROM (SELECT item_id, unnest(string_split(text, ' ')) AS x, unnest(range(len(string_split(text, ' ')))) AS i FROM benchmark))"
+WORDS = "w AS (SELECT min(seq_id) AS seq_id, seq FROM (SELECT item_id * 1000 + i AS seq_id, regexp_replace(lower(x), '[^a-z]', '', 'g') AS seq FROM (SELECT item_id, unnest(string_split(text, ' ')) AS x, unnest(range(len(string_split(text, ' ')))) AS i FROM benchmark)) WHERE seq <> '' GROUP BY seq)"
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("i", "x"))
-    return split.select((F.col("item_id") * 1000 + F.col("i")).alias("seq_id"), F.regexp_replace(F.lower("x"), "[^a-z]", "").alias("seq")).where("length(seq) >= 6")
+    words = split.select((F.col("item_id") * 1000 + F.col("i")).alias("seq_id"), F.regexp_replace(F.lower("x"), "[^a-z]", "").alias("seq"))
+    return words.where("seq != ''").groupBy("seq").agg(F.min("seq_id").alias("seq_id"))
 
 
-@query("WITH " + WORDS + ", l AS (SELECT * FROM w WHERE length(seq) >= 6), p AS (SELECT a.seq_id AS i, b.seq_id AS j, hamming(a.seq, b.seq) AS d FROM l a JOIN l b ON length(a.seq) = length(b.seq)) SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(d + 1 AS BIGINT) AS v FROM p WHERE d <= 2")
+@query("WITH " + WORDS + ", p AS (SELECT a.seq_id AS i, b.seq_id AS j, hamming(a.seq, b.seq) AS d FROM w a JOIN w b ON length(a.seq) = length(b.seq)) SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(d + 1 AS BIGINT) AS v FROM p WHERE d <= 2")
 def hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.hamming_neighbours(_words(spark, sf_dir), 2)
 
