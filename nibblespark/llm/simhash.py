@@ -183,7 +183,7 @@ PARITIES = 16
 class _Words(dict):
     """Hashes of words, each made once while it is remembered."""
 
-    MOST = 1 << 20
+    MOST = 1 << 16
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest

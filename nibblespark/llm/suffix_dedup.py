@@ -225,7 +225,7 @@ _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 class _Codes(dict):
     """Hashes of words, each made once while it is remembered."""
 
-    MOST = 1 << 20
+    MOST = 1 << 16
 
     def __missing__(self, word: bytes) -> bytes:
         from xxhash import xxh32_digest
