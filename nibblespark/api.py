@@ -58,7 +58,7 @@ class Array:
     def put(self, i: int, value: int) -> Array:
         """The array with one element replaced."""
         if not 0 <= operator.index(value) < 1 << self.bits:
-            raise ValueError("value outside bit width")
+            raise ValueError("a value needs more bits than the array has")
         if not -len(self) <= i < len(self):
             raise IndexError("index out of range")
         new = F.when(F.col("pos") == i % len(self), F.lit(int(value))).otherwise(F.col("v")).cast("smallint")
@@ -82,7 +82,7 @@ class Array:
         if isinstance(needle, Array):
             needle = needle.tolist()
         elif any(not 0 <= operator.index(x) < 1 << self.bits for x in needle):
-            raise ValueError("value outside bit width")
+            raise ValueError("a value needs more bits than the array has")
         return -1 if len(needle) > len(self) else R.find(self.df, list(needle)).first()["at"]
 
     def sum(self) -> int:

@@ -74,7 +74,7 @@ def spec_of(df: DataFrame, name: str = "v") -> ArraySpec | None:
 def checked(value: Column, bits: int) -> Column:
     """The value, or an error where it doesn't fit: it is never cut to fit."""
     check_bits(bits)
-    error = F.raise_error(F.concat(F.lit("value outside bit width: "), value.cast("string")))
+    error = F.raise_error(F.concat(F.lit("a value needs more bits than the array has: "), value.cast("string")))
     return F.when(value.between(0, (1 << bits) - 1), value).otherwise(error.cast("long"))
 
 

@@ -21,7 +21,7 @@ def from_values(spark: SparkSession, values: Iterable[int], bits: int = 8, layou
         if not hasattr(x, "__index__"):
             raise TypeError("values must be integers")
         if not 0 <= x.__index__() < 1 << bits:
-            raise ValueError("value outside bit width")
+            raise ValueError("a value needs more bits than the array has")
     t = pa.table({"pos": pa.array(range(len(data)), pa.int64()), "v": pa.array([int(x) for x in data], pa.int16())})
     return with_spec(spark.createDataFrame(t), ArraySpec((len(data),), bits, layout))
 

@@ -283,3 +283,45 @@ def test_automata(spark, rows, cols):
     np.testing.assert_array_equal(grid(automata.totalistic(cells, rows, cols, 4)), total % 4)
     near = np.any([np.roll(g, d, (0, 1)) == (g + 1) % 4 for d in automata.VON_NEUMANN], axis=0)
     np.testing.assert_array_equal(grid(automata.cyclic(cells, rows, cols, 4)), np.where(near, (g + 1) % 4, g))
+
+
+def test_records_have_the_bytes_that_the_plan_says(spark):
+    rng = np.random.default_rng(31)
+    rows = [rng.integers(0, 5, 400), np.repeat([3, 200, 7], [100, 250, 50]), np.tile(rng.integers(0, 200, 19), 20), np.zeros(300, int), np.concatenate([np.full(150, 9), rng.integers(0, 256, 60), np.full(90, 9)]), rng.integers(0, 256, 333), np.array([17]), rng.choice([1, 130, 255], 256)]
+    df = spark.createDataFrame([(k, [int(x) for x in r]) for k, r in enumerate(rows)], "chunk_id long, vals array<int>")
+    records = storage.encoded(df)
+    got = records.select("chunk_id", "encoding", "stored_bytes", storage.record_bytes(records).alias("real")).collect()
+    assert all(r["stored_bytes"] == r["real"] for r in got) and {"rle", "period", "uniform", "trim"} <= {r["encoding"] for r in got}
+    again = {r["chunk_id"]: r["vals"] for r in storage.decoded(records).collect()}
+    assert all(again[k] == list(r) for k, r in enumerate(rows))
+
+
+def test_damaged_runs_raise(spark):
+    from pyspark.errors import PySparkException
+
+    good = bytes([5, 2, 9, 0x80 | 3, 1])
+    for raw, n in ((good[:-1], 135), (good, 134), (good[:3], 3)):
+        with pytest.raises(PySparkException):
+            spark.createDataFrame([(raw, n)], "raw binary, n int").select(storage.runs_of(F.col("raw"), F.col("n"))).collect()
+    assert [tuple(r) for r in spark.createDataFrame([(good, 135)], "raw binary, n int").select(storage.runs_of(F.col("raw"), F.col("n")).alias("x")).first()["x"]] == [(5, 3), (9, 132)]
+
+
+def test_cache_model_over_many_blocks(spark):
+    rng = np.random.default_rng(32)
+    trace = [(i, int(x)) for i, x in enumerate(rng.integers(0, 12, 300) * 16)]
+    trace = trace[:100] + [(s + 400, p) for s, p in trace[100:]]  # blocks without reads in between
+    held, hits = [], 0
+    for _, p in trace:
+        c = p // 16
+        hits += c in held
+        held = [c, *(x for x in held if x != c)][:5]
+    got = storage.simulated_cache(spark.createDataFrame(trace, "step long, pos long"), 16, 5, block=7).first()
+    assert (got["hits"], got["misses"]) == (hits, len(trace) - hits)
+
+
+def test_dictionary_ids_follow_first_appearance(spark):
+    from nibblespark.operators import workloads
+
+    keys = [f"k{x}" for x in np.random.default_rng(33).integers(0, 90, 400)]
+    got = {r["k"]: r["id"] for r in workloads.dictionary(spark.createDataFrame(list(enumerate(keys)), "at long, k string"), "k", "at").collect()}
+    assert got == {k: i for i, k in enumerate(dict.fromkeys(keys))}
