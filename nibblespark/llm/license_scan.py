@@ -1,16 +1,18 @@
 """Licence scan with a positional rare-token index; DataFrame functions only.
 
-Templates are key phrases of licences with the words that usually stand around them. The index holds, for
-each phrase, the place of its rarest word: the one with the highest IDF over all documents. A file's words
-are looked up in that index; each hit gives a template and the place where it would start. There the
-mandatory phrase is verified word by word, and the surrounding template words that stand at their relative
-positions (postings at the same offset) give the coverage, which makes the score.
+Templates are key phrases of licences with the text that usually stands around them. Of each file, the licence
+words that it holds are ranked by IDF, taken over all documents. A template whose phrase's words the file all
+holds is looked up by the two of these words that rank highest: the file's places of each, moved back by the
+word's place in the phrase, are postings of possible starts, and only starts in both postings are left. There the
+mandatory phrase is verified word by word, and the share of the template's text that stands at its relative
+positions makes the score.
 
-A phrase can only stand where its rarest word stands, so no place is missed. Document frequencies are one
-count for each licence word: their number depends on the templates, not on the corpus.
+A phrase can only stand where all its words stand, so no place is missed. Texts are split once: what the first
+pass keeps are counts, the licence words of each file, and the words of those files that hold all words of some
+phrase. Document frequencies are one count for each licence word, whatever the corpus.
 
 Null or empty text: no words, no places, empty labels, score 0. Null ids and repeated rows are kept, one
-output row per input row. Extra columns are ignored.
+output row per input row. Templates that tie in rank go by their order in the phrase. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower
+from ._common import ascii_lower, materialise
 
 #: What separates words, after A-Z were lower-cased.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,22 +49,29 @@ class Template:
         return len(self.before.split()), self.phrase.split()
 
 
+#: Fixed phrases of licences, with text around them as it is usually published.
 TEMPLATES = (
     Template("mit", "mit license", "released under the", base=True),
     Template("apache", "apache license", "licensed under the", "version 2", base=True),
     Template("gpl", "general public license", "this work is licensed under the gnu", "version 3", base=True),
-    Template("lgpl", "gnu lesser general public license", "under the terms of the"),
-    Template("agpl", "gnu affero general public license", "under the terms of the"),
-    Template("mpl", "mozilla public license", "subject to the terms of the", "v 2 0"),
-    Template("epl", "eclipse public license", "under the terms of the", "v 2 0"),
-    Template("bsd", "redistribution and use in source and binary forms", "", "with or without modification are permitted"),
+    Template("apache", "you may not use this file except in compliance with the license", "licensed under the apache license version 2 0 the license", "you may obtain a copy of the license at"),
+    Template("gpl", "either version 3 of the license or at your option any later version", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    Template("gpl", "either version 2 of the license or at your option any later version", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    Template("lgpl", "gnu lesser general public license", "under the terms of the", "as published by the free software foundation"),
+    Template("agpl", "gnu affero general public license", "under the terms of the", "as published by the free software foundation"),
+    Template("mpl", "mozilla public license", "this source code form is subject to the terms of the", "v 2 0"),
+    Template("epl", "eclipse public license", "this program and the accompanying materials are made available under the terms of the", "v 2 0"),
+    Template("bsd", "redistribution and use in source and binary forms", "", "with or without modification are permitted provided that the following conditions are met"),
+    Template("bsd", "redistributions of source code must retain the above copyright notice", "", "this list of conditions and the following disclaimer"),
     Template("bsd", "bsd license", "released under the"),
     Template("isc", "isc license", "released under the"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose", "", "with or without fee is hereby granted"),
+    Template("zlib", "this software is provided as is without any express or implied warranty", "", "in no event will the authors be held liable for any damages arising from the use of this software"),
     Template("cc-by-nc", "licensed under cc by nc", "this text is", "4 0"),
     Template("cc-by-sa", "licensed under cc by sa", "this text is", "4 0"),
     Template("cc-by", "creative commons attribution", "licensed under a", "license"),
-    Template("unlicense", "released into the public domain", "free and unencumbered software"),
-    Template("mit", "permission is hereby granted free of charge", "", "to any person obtaining a copy"),
+    Template("unlicense", "released into the public domain", "this is free and unencumbered software"),
+    Template("mit", "permission is hereby granted free of charge", "", "to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
 )
 
 
@@ -71,11 +80,8 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAPS), lambda w: w != "")
 
 
-def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """In how many documents each licence word stands, counted over all whole texts."""
-    found = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("word"))
-    counts = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most one row per licence word
-    return {w: counts.get(w, 0) for w in vocabulary}
+def _strings(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
 def inverse_frequencies(frequencies: dict[str, int]) -> dict[str, float]:
@@ -83,38 +89,47 @@ def inverse_frequencies(frequencies: dict[str, int]) -> dict[str, float]:
     return {w: math.log((1 + top) / (1 + n)) for w, n in frequencies.items()}
 
 
+def first_pass(docs: DataFrame, templates: tuple[Template, ...], keep: tuple[str, ...]) -> DataFrame:
+    """``keep``, n_words, the licence words ``held`` by each file, and its words where these make up a phrase."""
+    vocabulary = sorted({w for t in templates for w in t.key[1]})
+    phrases = F.array(*(_strings(sorted(set(t.key[1]))) for t in templates))
+    split = docs.select(*keep, words_of(F.col("text")).alias("words"))
+    split = split.select(*keep, "words", F.array_intersect("words", _strings(vocabulary)).alias("held"))
+    some = F.exists(phrases, lambda p: F.size(F.array_except(p, F.col("held"))) == 0)
+    return materialise(split.select(*keep, F.size("words").cast("long").alias("n_words"), "held", F.when(some, F.col("words")).alias("words")), "licence-words")
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_words and ``places``: the verified (template, start, n_words, coverage) of each file."""
-    vocabulary = sorted({w for t in templates for w in t.key[1]})
-    idf = inverse_frequencies(document_frequencies(docs, vocabulary))
-    postings: dict[str, list[tuple[int, int]]] = {}
+    files = first_pass(docs, templates, keep)
+    counts = files.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    frequencies = {r["word"]: r["n"] for r in counts.collect()}  # at most one row per licence word
+    idf = inverse_frequencies({w: frequencies.get(w, 0) for t in templates for w in t.key[1]})
+    rows = []
     for i, t in enumerate(templates):
-        start, phrase = t.key
-        rare = max(range(len(phrase)), key=lambda k: (idf[phrase[k]], -k))
-        postings.setdefault(phrase[rare], []).append((i, rare))
-    anchors = sorted(postings)
-    posting = lambda i, k: F.struct(F.lit(i).alias("template"), F.lit(k).alias("place"))
-    index = F.create_map(*[x for w in anchors for x in (F.lit(w), F.array(*(posting(*p) for p in postings[w])))])
-    strings = lambda words: F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    table = F.array(*(F.struct(F.lit(t.key[0]).alias("lead"), strings(t.key[1]).alias("phrase"), strings(t.words).alias("words")) for t in templates))
+        lead, phrase = t.key
+        rare = sorted(range(len(phrase)), key=lambda k: (-idf[phrase[k]], k))  # by rank: a file that holds the phrase holds these
+        one, two = rare[0], rare[1] if len(rare) > 1 else rare[0]
+        number = lambda k: F.lit(k).cast("int")
+        rows.append(F.struct(number(i).alias("template"), number(lead).alias("lead"), F.lit(phrase[one]).alias("rare"), number(one).alias("at"), F.lit(phrase[two]).alias("next"), number(two).alias("next_at"), _strings(phrase).alias("phrase"), _strings(t.words).alias("words")))
+    anchors = sorted({phrase[k] for t in templates for phrase in [t.key[1]] for k in range(len(phrase))})
 
     words = F.col("words")
-    hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(anchors), F.struct(w.alias("word"), i.alias("at")))), lambda h: h.isNotNull())
-    starts = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["word"]), lambda p: F.struct(p["template"].alias("template"), (h["at"] - p["place"]).alias("start")))))
+    # the places of licence words, by word; then postings of starts, their intersection, and the phrase
+    found = files.select(*keep, "n_words", "held", "words", F.filter(F.transform(words, lambda w, i: F.when(w.isin(anchors), F.struct(w.alias("word"), i.alias("at")))), lambda h: h.isNotNull()).alias("hits"))
+    postings = lambda word, at: F.transform(F.filter("hits", lambda h: h["word"] == word), lambda h: h["at"] - at)
 
-    def verified(c: Column) -> Column:
-        t = F.get(table, c["template"])
-        return (c["start"] >= 0) & (F.slice(words, F.greatest(c["start"], F.lit(0)) + 1, F.size(t["phrase"])) == t["phrase"])
+    def starts(t: Column) -> Column:
+        both = F.array_intersect(postings(t["rare"], t["at"]), postings(t["next"], t["next_at"]))
+        stands = F.filter(both, lambda s: (s >= 0) & (F.slice(words, F.greatest(s, F.lit(0)) + 1, F.size(t["phrase"])) == t["phrase"]))
+        return F.transform(stands, lambda s: F.struct(t["template"].alias("template"), s.alias("start"), F.size(t["phrase"]).alias("n_words"), covered(t, s).alias("coverage")))
 
-    def covered(c: Column) -> Column:
-        t = F.get(table, c["template"])
-        same = F.filter(F.transform(t["words"], lambda w, i: F.get(words, c["start"] - t["lead"] + i) == w), lambda x: x)
-        share = F.size(same) / F.size(t["words"])
-        return F.struct(c["template"].alias("template"), c["start"].alias("start"), F.size(t["phrase"]).alias("n_words"), share.alias("coverage"))
+    def covered(t: Column, start: Column) -> Column:
+        same = F.filter(F.transform(t["words"], lambda w, i: F.get(words, start - t["lead"] + i) == w), lambda x: x)
+        return F.size(same) / F.size(t["words"])
 
-    places = F.when(F.arrays_overlap(words, strings(anchors)), F.transform(F.filter(starts, verified), covered))
-    split = docs.select(*keep, words_of(F.col("text")).alias("words"))
-    return split.select(*keep, F.size("words").cast("long").alias("n_words"), places.alias("places"))
+    candidates = F.filter(F.array(*rows), lambda t: F.size(F.array_except(t["phrase"], F.col("held"))) == 0)
+    return found.select(*keep, "n_words", F.when(words.isNotNull(), F.flatten(F.transform(candidates, starts))).alias("places"))
 
 
 def report(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
