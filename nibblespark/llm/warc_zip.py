@@ -2,8 +2,12 @@
 
 A package is a ZIP file of stored members: ``archive/data.warc.gz`` with one gzip member per record, and
 ``indexes/index.cdxj`` with a line for each record. The reader parses the end record, its ZIP64 form, the
-central directory and the local header of a member itself, and then reads byte ranges of the package: the
-index first, then just the records asked for. Nothing is extracted, and only stored members are read.
+central directory and the local header of a member itself, and then reads byte ranges of the package: a part of
+the index first, then just the records asked for. Nothing is extracted, and only stored members are read.
+
+Each task packs the pages that it scans; which of them are revisits was found by their digests alone, so pages
+are never shuffled. A package is closed after ``PACKAGE`` bytes, and the manifest has a row for each ``RECORDS``
+records with their part of the index, so a reader's work and memory don't grow with the package.
 
 Among equal payloads of at least ``LEAST`` bytes the row with the largest page_id is a response; the others
 are revisit records without a payload that refer to it. Smaller payloads are always responses.
@@ -25,6 +29,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -32,13 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise, scratch_path, ship_package, small_batches
+from ._rows import Findings, leave, named, scanned
 
 LEAST = 1000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records that one reading task takes from a package, and bytes of one range read.
-RECORDS, RANGE = 4096, 4 << 20
+#: Records that one row of the manifest stands for, bytes of one range read, and of a package's records at most.
+RECORDS, RANGE, PACKAGE = 4096, 4 << 20, 1 << 30
 
 
 # ---------------------------------------------------------------- ZIP directories
@@ -161,52 +167,94 @@ def gzip_member(raw: bytes, level: int = 4) -> bytes:
 # ---------------------------------------------------------------- Spark
 
 
-def write_packages(pages: DataFrame, path: str) -> DataFrame:
-    """Write all pages to packages in the shared folder ``path``; one row per package: path, records."""
+MANIFEST = "path string, records long, index_at long, index_bytes long"
+
+
+class PackageWriter:
+    """Streams records to one package; keeps the index, and where each ``RECORDS`` entries of it start."""
+
+    def __init__(self, out):
+        self.out = out
+        self.package = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
+        self.data = self.package.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
+        self.index = io.BytesIO()
+        self.offset = self.n = 0
+        self.parts: list[list[int]] = []  # records, first byte and bytes of the index
+
+    def add(self, page_id: int | None, url: str, raw: bytes) -> None:
+        if self.n % RECORDS == 0:
+            self.parts.append([0, self.index.tell(), 0])
+        self.data.write(raw)
+        line = json.dumps({"url": url, "page_id": page_id, "offset": self.offset, "length": len(raw)}).encode() + b"\n"
+        self.index.write(line)
+        self.offset += len(raw)
+        self.n += 1
+        self.parts[-1][0] += 1
+        self.parts[-1][2] += len(line)
+
+    def close(self) -> None:
+        self.data.close()
+        self.package.writestr(zipfile.ZipInfo(INDEX), self.index.getvalue())
+        self.package.writestr(zipfile.ZipInfo("datapackage.json"), json.dumps({"profile": "data-package", "resources": [{"path": DATA}, {"path": INDEX}]}))
+        self.package.close()
+        self.out.close()
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """(block, row, refers_to) of the named pages that repeat a payload; only digests are shuffled."""
+    body = F.coalesce("html", F.lit("")).cast("binary")
+    large = rows.where(F.octet_length(F.coalesce("html", F.lit(""))) >= LEAST)
+    narrow = materialise(large.select(F.col("__block").alias("block"), F.col("__row").alias("row"), "page_id", F.sha1(body).alias("digest")), "digests")
+    chosen = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    return narrow.join(chosen, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("block", "row", "refers_to")
+
+
+def write_packages(pages: DataFrame, path: str, package_bytes: int = PACKAGE) -> DataFrame:
+    """Write all pages to packages in the shared folder ``path``; the manifest: parts of the packages' indexes."""
     small_batches(pages.sparkSession)
-    body = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.sha1(body.cast("binary")).alias("digest"))
-    large = pages.select("page_id", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= LEAST)
-    chosen = large.groupBy("digest").agg(F.max("page_id").alias("chosen"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = rows.join(chosen, "digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("chosen")), F.col("chosen")).alias("refers_to"))
+    rows = named(scanned(pages))
+    marks = leave(revisits(rows), "revisits")
+    names = [f.split()[0] for f in MANIFEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, roll = TaskContext.get().partitionId(), 0
         system, folder = fs.FileSystem.from_uri(path)
-        temp, final = f"{folder}/.{part:06d}-{uuid.uuid4().hex}", f"{folder}/pages-{part:06d}.wacz"
-        index, offset, out, package, data = [], 0, None, None, None
+        found = Findings(marks)
+        writer = temp = None
+
+        def close() -> pa.RecordBatch:
+            writer.close()
+            final = f"{folder}/pages-{part:06d}-{roll:04d}.wacz"
+            system.move(temp, final)  # whole or absent; a repeated task writes the same file
+            return pa.RecordBatch.from_arrays([pa.array([final] * len(writer.parts)), *(pa.array(c, pa.int64()) for c in zip(*writer.parts))], names=names)
+
         for b in batches:
-            if b.num_rows and out is None:
-                system.create_dir(folder, recursive=True)
-                out = system.open_output_stream(temp, buffer_size=1 << 20)
-                package = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                data = package.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
-            for page_id, url, html, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
+            for block, row, page_id, url, html in zip(*(b.column(c).to_pylist() for c in ("__block", "__row", "page_id", "url", "html"))):
+                if writer is None:
+                    system.create_dir(folder, recursive=True)
+                    temp = f"{folder}/.{part:06d}-{roll:04d}-{uuid.uuid4().hex}"
+                    writer = PackageWriter(system.open_output_stream(temp, buffer_size=1 << 20))
+                mine = found.of(block, row)
+                refers_to = None if mine is None else mine.column("refers_to")[0].as_py()
                 url = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-                raw = gzip_member(record(page_id, url, (html or "").encode(), refers_to, f"{part}/{len(index)}"))
-                data.write(raw)
-                index.append(json.dumps({"url": url, "page_id": page_id, "offset": offset, "length": len(raw)}))
-                offset += len(raw)
-        if out is not None:
-            data.close()
-            package.writestr(zipfile.ZipInfo(INDEX), "\n".join(index))
-            package.writestr(zipfile.ZipInfo("datapackage.json"), json.dumps({"profile": "data-package", "resources": [{"path": DATA}, {"path": INDEX}]}))
-            package.close()
-            out.close()
-            system.move(temp, final)  # whole or absent; a repeated task writes the same file
-            yield pa.RecordBatch.from_pydict({"path": [final], "records": [len(index)]})
+                writer.add(page_id, url, gzip_member(record(page_id, url, (html or "").encode(), refers_to, f"{part}/{roll}/{writer.n}")))
+                if writer.offset >= package_bytes:
+                    yield close()
+                    writer, roll = None, roll + 1
+        if writer is not None:
+            yield close()
 
-    return materialise(marked.mapInArrow(run, "path string, records long"), "packages")
+    return materialise(rows.select("__block", "__row", "page_id", "url", "html").mapInArrow(run, MANIFEST), "packages")
 
 
-def records(source, first: int = 0, count: int | None = None) -> Iterator[dict]:
-    """Records ``first`` and on of an open package, by range reads."""
+def records(source, index_at: int = 0, index_bytes: int | None = None) -> Iterator[dict]:
+    """Records of an open package, all or those of a part of its index, by range reads."""
     members = directory(source)
-    at = data_start(source, members[INDEX])
-    lines = _read(source, at, members[INDEX].size).decode().split("\n")
-    entries = [json.loads(x) for x in lines[first : None if count is None else first + count] if x]
+    at = data_start(source, members[INDEX]) + index_at
+    lines = _read(source, at, members[INDEX].size if index_bytes is None else index_bytes).split(b"\n")
+    entries = [json.loads(x) for x in lines if x]
     base, i = data_start(source, members[DATA]), 0
     while i < len(entries):
         j, start = i, entries[i]["offset"]
@@ -226,7 +274,6 @@ def read_packages(manifest: DataFrame, path: str, payloads: bool = False) -> Dat
     """Every record of the packages, a task for some thousand records; with ``payloads`` the bytes too."""
     spark = manifest.sparkSession
     ship_package(spark)
-    reads = manifest.select("path", F.explode(F.sequence(F.lit(0), F.col("records") - 1, F.lit(RECORDS).cast("long"))).alias("first"))
     schema = SCHEMA + (", url string, payload binary" if payloads else "")
     names = [x.split()[0] for x in schema.split(", ")]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -235,12 +282,13 @@ def read_packages(manifest: DataFrame, path: str, payloads: bool = False) -> Dat
         system, _ = fs.FileSystem.from_uri(path)
         types = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
         for b in batches:
-            for file, first in zip(b.column("path").to_pylist(), b.column("first").to_pylist()):
+            for file, at, n in zip(b.column("path").to_pylist(), b.column("index_at").to_pylist(), b.column("index_bytes").to_pylist()):
                 with system.open_input_file(file) as source:
-                    rows = list(records(source, first, RECORDS))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types.get(n, pa.string())) for n in names], names=names)
+                    found = records(source, at, n)
+                    while rows := [tuple(r[k] for k in names) for r in islice(found, 64 if payloads else 1024)]:  # the rest of a record isn't kept
+                        yield pa.RecordBatch.from_arrays([pa.array(c, types.get(k, pa.string())) for k, c in zip(names, zip(*rows))], names=names)
 
-    return reads.repartition(parts, "path", "first").mapInArrow(run, schema)
+    return manifest.repartition(parts, "path", "index_at").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
