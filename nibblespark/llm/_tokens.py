@@ -123,6 +123,13 @@ def encoder(path: str, leading: bool) -> WordEncoder:
     return _ENCODERS[path, leading]
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a vocabulary file, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 def public_tokenizer(name: str) -> str:
     """The place of a public vocabulary file on this machine."""
     import public_tokenizers

@@ -7,6 +7,9 @@ opens the footer, and unpacks just the blocks that a range of tokens touches.
 
 File: magic, blocks, footer (JSON header, document table, block offsets), footer length, magic.
 
+A file is closed after ``FILE_TOKENS`` ids or ``FILE_DOCS`` documents, and the task goes on with another; the
+manifest keeps their order. Ids that need more bits than the vocabulary raise.
+
 Null text: only the end id. Null ids come first and stay null. Repeated rows are written once each. An
 empty table gives no rows. Extra columns are ignored.
 """
@@ -31,6 +34,8 @@ from . import _tokens
 from ._common import materialise, scratch_path, ship_package, small_batches
 
 MAGIC, BLOCK = b"NSBITS01", 1 << 16
+#: What one file holds at most, but for a last document that goes beyond.
+FILE_TOKENS, FILE_DOCS = 1 << 28, 1 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -40,6 +45,8 @@ def bits_for(vocabulary: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids as little-endian 64-bit words; id i starts at bit i * bits. 64 ids fill ``bits`` words."""
     n = len(ids)
+    if n and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} needs more than {bits} bits")
     rows = np.zeros((-(-n // 64), 64), np.uint64)
     rows.ravel()[:n] = ids
     words = np.zeros((len(rows), bits), np.uint64)
@@ -72,6 +79,7 @@ class TokenWriter:
     def __init__(self, out, bits: int, block: int = BLOCK):
         self.out, self.bits, self.block = out, bits, block
         self.docs: list[tuple[int | None, int]] = []
+        self.tokens = 0
         self.offsets = [len(MAGIC)]
         self.held: list[np.ndarray] = []
         self.n_held = 0
@@ -79,6 +87,7 @@ class TokenWriter:
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id, len(ids)))
+        self.tokens += len(ids)
         self.held.append(ids)
         self.n_held += len(ids)
         if self.n_held >= 8 * self.block:
@@ -95,7 +104,7 @@ class TokenWriter:
 
     def close(self) -> int:
         self._flush(True)
-        tokens = sum(n for _, n in self.docs)
+        tokens = self.tokens
         head = json.dumps({"bits": self.bits, "block": self.block, "docs": len(self.docs), "tokens": tokens, "blocks": len(self.offsets) - 1}).encode()
         ids = np.array([d or 0 for d, _ in self.docs], "<i8").tobytes() + np.array([d is not None for d, _ in self.docs], "u1").tobytes()
         foot = struct.pack("<I", len(head)) + head + ids + np.array([n for _, n in self.docs], "<i8").tobytes() + np.array(self.offsets, "<i8").tobytes()
@@ -154,48 +163,54 @@ class TokenReader:
             i = j
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: int, tokenizer: str, leading: bool = True, end_id: int = 2) -> DataFrame:
-    """Encode all texts into files under the shared folder ``path``; one row per file: part, path, docs, tokens."""
+def write_tokens(docs: DataFrame, path: str, vocabulary: int, tokenizer: str, leading: bool = True, end_id: int = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Encode all texts into files under the shared folder ``path``; one row per file: part, roll, path, docs, tokens."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tie = F.xxhash64("text")
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    bits = bits_for(vocabulary)
+    bits = bits_for(max(vocabulary, end_id + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, roll = TaskContext.get().partitionId(), 0
         system, folder = fs.FileSystem.from_uri(path)
         encode = _tokens.encoder(tokenizer, leading).encode
-        writer = out = None
+        writer = out = temp = None
         end = np.array([end_id], "<u4").tobytes()
-        temp, final = f"{folder}/.{part:06d}-{uuid.uuid4().hex}", f"{folder}/part-{part:06d}.bits"
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if writer is None:
-                system.create_dir(folder, recursive=True)
-                out = system.open_output_stream(temp)
-                writer = TokenWriter(out, bits)
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for doc_id, raw in zip(b.column("doc_id").to_pylist(), encode(texts)):
-                writer.add(doc_id, np.frombuffer(raw + end, "<u4"))
-        if writer is not None:
+
+        def close() -> pa.RecordBatch:
             tokens = writer.close()
             out.close()
+            final = f"{folder}/part-{part:06d}-{roll:04d}.bits"
             system.move(temp, final)  # whole or absent; a repeated task writes the same file
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [final], "docs": [len(writer.docs)], "tokens": [tokens]})
+            row = {"part": pa.array([part], pa.int32()), "roll": pa.array([roll], pa.int32()), "path": [final], "docs": [len(writer.docs)], "tokens": [tokens]}
+            return pa.RecordBatch.from_pydict(row)
+
+        for b in batches:
+            for doc_id, raw in zip(b.column("doc_id").to_pylist(), encode([t or "" for t in b.column("text").to_pylist()])):
+                if writer is None:
+                    system.create_dir(folder, recursive=True)
+                    temp = f"{folder}/.{part:06d}-{roll:04d}-{uuid.uuid4().hex}"
+                    out = system.open_output_stream(temp)
+                    writer = TokenWriter(out, bits)
+                writer.add(doc_id, np.frombuffer(raw + end, "<u4"))
+                if writer.tokens >= file_tokens or len(writer.docs) >= FILE_DOCS:
+                    yield close()
+                    writer, roll = None, roll + 1
+        if writer is not None:
+            yield close()
 
-    return materialise(ordered.mapInArrow(run, "part int, path string, docs long, tokens long"), "token-files")
+    return materialise(ordered.mapInArrow(run, "part int, roll int, path string, docs long, tokens long"), "token-files")
 
 
 def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files, in parallel over files."""
     spark = manifest.sparkSession
     ship_package(spark)
-    files = sorted(manifest.select("part", "path", "tokens").collect())  # one row per file
+    files = sorted(manifest.select("part", "roll", "path", "tokens").collect())  # one row per file
     starts = [0, *accumulate(f["tokens"] for f in files)]
     rows = [(f["path"], s) for f, s in zip(files, starts)]
     table = spark.createDataFrame(rows, "path string, start long").repartition(max(len(rows), 1), "path") if rows else spark.createDataFrame([], "path string, start long")
@@ -213,7 +228,8 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
     return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, vocabulary: int = 50_257, end_id: int = 2) -> DataFrame:
-    """Write the files to the session's shared folder and read every document back."""
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Write the files to the session's shared folder and read every document back; the file says how large the vocabulary is."""
     path = scratch_path(docs.sparkSession, "tokens")
-    return read_tokens(write_tokens(docs, path, vocabulary, tokenizer, end_id=end_id), path)
+    vocabulary = _tokens.vocabulary_size(tokenizer)
+    return read_tokens(write_tokens(docs, path, vocabulary, tokenizer, end_id=end_id, file_tokens=file_tokens), path)
