@@ -2,7 +2,7 @@
 
 The driver sees only the histogram of piece lengths (as many numbers as a sequence has tokens). Patterns of
 few documents, on lengths rounded up to a grid, are fitted to it by non-negative least squares; their
-repeat counts are rounded down and filled with exact lengths. What is left goes best-fit, longest first,
+repeat counts are rounded and filled with exact lengths, as far as there are any. What is left goes best-fit, longest first,
 into the smallest gap that takes it, else into new sequences. The result is a list of runs: so many
 pieces of one length, at one offset of consecutive sequences. Pieces are numbered within their length and
 look up their run; this numbering is the only shuffle, and it carries no text.
@@ -76,7 +76,7 @@ def plan(histogram: np.ndarray, limit: int = LIMIT) -> tuple[list[tuple[int, int
                 a[bins[k], j] += 1
         x = nnls(a, np.array([left[by_bin[k]].sum() for k in present], float))
         for j in np.argsort(-x):
-            repeat = int(x[j])
+            repeat = int(x[j] + 0.5)
             while repeat:
                 lengths = []
                 for k in found[j]:  # the longest that are left of each grid length
