@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import posixpath
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,16 +33,49 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return posixpath.join(scratch_root(spark), f"{tag}-{uuid.uuid4().hex[:12]}")
+#: Folders made in each scratch scope that is open, the innermost last.
+_SCOPES: list[list[str]] = []
 
 
-def materialise(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    path = posixpath.join(scratch_root(spark), f"{tag}-{uuid.uuid4().hex[:12]}")
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder inside goes at the end, but for what is ``handed_on``.
+
+    Only for steps whose results are written when they end: a lazy DataFrame would miss its tables. Shuffle files
+    of the finished jobs go as well, as soon as the driver's garbage is collected.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def handed_on(path: str) -> str:
+    """Keep a folder beyond the scope that it was made in; an outer scope then has it."""
+    if _SCOPES:
+        _SCOPES[-1].remove(path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(path)
+    return path
+
+
+def materialise(df: DataFrame, tag: str, hand_on: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage."""
     path = scratch_path(df.sparkSession, tag)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(handed_on(path) if hand_on else path)
 
 
 def small_batches(spark: SparkSession) -> None:

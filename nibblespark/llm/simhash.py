@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_batches, text_bytes
+from ._common import handed_on, materialise, scratch_scope, small_batches, text_bytes
 from ._rows import Findings, leave, named, scanned, without
 from .components import connected_components
 
@@ -283,6 +283,11 @@ def _similar(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ``texts`` has one row for each signature: where a text of it stands, and its parities.
     """
+    with scratch_scope(rows.sparkSession):
+        return _verified(rows, texts, pairs)
+
+
+def _verified(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     left, right = (texts.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("parities").alias(f"p{k}")) for k in "ab")
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     # at 0.8 the sets differ in a ninth of their sizes at most
@@ -306,7 +311,7 @@ def _similar(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("own").alias("y")), "b")
     # i / (x + y - i) >= 4 / 5
     enough = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
-    return materialise(both.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
+    return materialise(both.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar", hand_on=True)
 
 
 def _sized(n: Column, m: Column) -> Column:
@@ -327,14 +332,18 @@ def _copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     first holds its members against one of them; then only members that are not in one component yet meet.
     Sizes, places in the order and parities leave out pairs that can't reach 0.8; whole sets decide each link.
     """
-    small_batches(rows.sparkSession)
-    sketches = _sketches(rows)
-    first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "block", "row", "n", "print", "parities", "firsts")).alias("x")
-    texts = materialise(sketches.groupBy("sig").agg(first).select("sig", "x.doc_id", "x.block", "x.row", "x.n", "x.print", "x.parities", "x.firsts"), "texts-once")
+    spark = rows.sparkSession
+    small_batches(spark)
+    with scratch_scope(spark):
+        wide = _sketches(rows)
+        first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "block", "row", "n", "print", "parities", "firsts")).alias("x")
+        texts = materialise(wide.groupBy("sig").agg(first).select("sig", "x.doc_id", "x.block", "x.row", "x.n", "x.print", "x.parities", "x.firsts"), "texts-once", hand_on=True)
+        sketches = materialise(wide.select("block", "row", "doc_id", "sig"), "signatures", hand_on=True)
 
     # the covering tables
     prints = materialise(texts.groupBy("print").agg(F.min("sig").alias("id")), "vertices")
-    tables = links(prints, RADIUS, close_pairs=True).select(*_paired(F.col("u"), F.col("v")))
+    with scratch_scope(spark):
+        tables = materialise(links(prints, RADIUS, close_pairs=True).select(*_paired(F.col("u"), F.col("v"))).distinct(), "table-pairs", hand_on=True)
     equal = texts.select("sig", "print").join(prints, "print").where("sig != id").select(*_paired(F.col("sig"), F.col("id")))
 
     # the rarest shingles
@@ -368,10 +377,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     Texts without words are copies of each other. Rows of equal texts are one vertex, whatever their ids.
     """
-    sketches, classes = _copies(named(scanned(docs)))
-    least = classes.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    of = classes.join(least, "part").select("sig", "component_id")
-    return sketches.select("doc_id", "sig").join(of, "sig").select("doc_id", "component_id")
+    rows = named(scanned(docs))
+    with scratch_scope(docs.sparkSession):
+        sketches, classes = _copies(rows)
+        least = classes.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+        of = classes.join(least, "part").select("sig", "component_id")
+        return materialise(sketches.select("doc_id", "sig").join(of, "sig").select("doc_id", "component_id"), "copies", hand_on=True)
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
@@ -381,8 +392,10 @@ def without_copies(docs: DataFrame) -> DataFrame:
     count after all others, and a row never goes for sharing its id with a copy. Texts without words are one group.
     """
     rows = named(scanned(docs))
-    sketches, classes = _copies(rows)
-    kept = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "block", "row")).alias("x")
-    stays = classes.groupBy("part").agg(kept).select("x.block", "x.row")
-    gone = sketches.select("block", "row").join(stays, ["block", "row"], "left_anti")
-    return without(docs, rows, leave(gone, "copies"))
+    with scratch_scope(docs.sparkSession):
+        sketches, classes = _copies(rows)
+        kept = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "block", "row")).alias("x")
+        stays = classes.groupBy("part").agg(kept).select("x.block", "x.row")
+        gone = sketches.select("block", "row").join(stays, ["block", "row"], "left_anti")
+        path = handed_on(leave(gone, "copies"))
+    return without(docs, rows, path)

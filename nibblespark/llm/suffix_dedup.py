@@ -29,14 +29,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_batches, text_bytes
+from ._common import handed_on, materialise, scratch_scope, small_batches, text_bytes
 from ._rows import Findings, leave, named, scanned
 from ._suffixes import digests, repeated_windows, segments
 
@@ -44,7 +44,7 @@ WINDOW, GRAM = 400, 64
 #: Words of the shortest passage that counts as repeated, however few bytes it has.
 WORDS = 51
 #: Classes of one minimizer that a task sorts; bytes that it sorts at once; bytes that are cut at once.
-MOST, SORT_BYTES, CUT_BYTES = 4096, 4 << 20, 4 << 20
+MOST, SORT_BYTES, CUT_BYTES = 4096, 4 << 20, 1 << 20
 
 
 def _where(first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -74,11 +74,12 @@ def _pieces(texts: list[bytes], window: int, most: int) -> Iterator[tuple[list[i
         yield rows, offsets, parts
 
 
-def _segments(named: DataFrame, window: int, gram: int) -> DataFrame:
+def _segments(named: DataFrame, window: int, gram: int, coded: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = _symbols(coded)
         for b in batches:
             block, row = (b.column(c).to_numpy(zero_copy_only=False) for c in ("__block", "__row"))
-            for rows, offsets, parts in _pieces(text_bytes(b.column("text")), window, CUT_BYTES):
+            for rows, offsets, parts in _pieces(list(map(symbols, text_bytes(b.column("text")))), window, CUT_BYTES):
                 lens = np.fromiter(map(len, parts), np.int64, len(parts))
                 starts = np.cumsum(lens) - lens
                 joined = b"".join(parts)
@@ -106,16 +107,17 @@ def _gathered(block: np.ndarray, row: np.ndarray, at: np.ndarray, content: np.nd
 CONTEXT = "gram long, block long, row long, at long, classes long, context binary"
 
 
-def _contexts(named: DataFrame, path: str, window: int) -> DataFrame:
+def _contexts(named: DataFrame, path: str, window: int, coded: bool) -> DataFrame:
     """The bytes of the segments named in the findings at ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Findings(path)
+        found, symbols = Findings(path), _symbols(coded)
         for b in batches:
             out: list[tuple] = []
             for block, row, t in zip(b.column("__block").to_pylist(), b.column("__row").to_pylist(), text_bytes(b.column("text"))):
                 if (mine := found.of(block, row)) is None:
                     continue
+                t = symbols(t)
                 first, last, _ = _parts_of(at := mine.column("at").to_numpy())
                 for g, w, c, i, j in zip(mine.column("gram").to_pylist(), at.tolist(), mine.column("classes").to_pylist(), first.tolist(), last.tolist()):
                     out.append((g, block, row, w, c, t[i : j + window]))
@@ -200,15 +202,18 @@ def _counted_spans(contexts: DataFrame, window: int) -> DataFrame:
 CLASS = ["gram", "content", "check"]
 
 
-def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """Bytes that go: whole segments (block, rows, ats), and other spans (block, row, first, last). They may overlap."""
-    cut = materialise(_segments(named, window, gram), "segments")
+def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, coded: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Bytes that go: whole segments (block, rows, ats), and other spans (block, row, first, last). They may overlap.
+
+    ``coded``: of the texts' word hashes instead.
+    """
+    cut = materialise(_segments(named, window, gram, coded), "segments")
     one = F.struct("block", F.get("rows", F.lit(0)).alias("row"), F.get("ats", F.lit(0)).alias("at"))
     classes = materialise(cut.groupBy(*CLASS).agg(F.sum(F.size("rows")).alias("n"), F.min(one).alias("one")), "classes")
     whole = cut.join(classes.where("n > 1").select(*CLASS), CLASS, "left_semi").select("block", "rows", "ats")
     shared = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
     partial = classes.join(shared, "gram").select("gram", "one.block", "one.row", "one.at", "classes")
-    contexts = _contexts(named, leave(partial, "partial"), window)
+    contexts = _contexts(named, leave(partial, "partial"), window, coded)
     spans = _sorted_spans(contexts.where(F.col("classes") <= most), window, gram)
     if shared.where(F.col("classes") > most).limit(1).count():
         hot = materialise(contexts.where(F.col("classes") > most), "hot-contexts")
@@ -236,16 +241,12 @@ class _Codes(dict):
         return h
 
 
-def _coded(named: DataFrame) -> DataFrame:
-    """The named rows with each word of the text as its hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Codes()
-        for b in batches:
-            codes = [b"".join(map(memory.__getitem__, t.translate(_PLAIN).split())) for t in text_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("__block"), b.column("__row"), pa.array(codes, pa.binary())], names=["__block", "__row", "text"])
-
-    return named.select("__block", "__row", "text").mapInArrow(run, "__block long, __row long, text binary")
+def _symbols(coded: bool) -> Callable[[bytes], bytes]:
+    """A text as it is, or each of its words as its hash."""
+    if not coded:
+        return lambda t: t
+    memory = _Codes()
+    return lambda t: b"".join(map(memory.__getitem__, t.translate(_PLAIN).split()))
 
 
 def _runs_of_words(spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
@@ -273,6 +274,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _found(rows: DataFrame, window: int, gram: int, most: int, coded: bool) -> tuple[str, str]:
+    """Where the whole segments and the spans that repeat are left."""
+    with scratch_scope(rows.sparkSession):
+        whole, spans = repeated_spans(rows, window, gram, most, coded)
+        return handed_on(leave(whole, "wholes")), handed_on(leave(spans, "spans"))
+
+
 #: The columns that remove_repeats adds.
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_passage_words")
 
@@ -288,8 +296,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
         raise ValueError(f"windows must be longer than {gram} bytes, by 1023 at most")
     small_batches(docs.sparkSession)
     rows = named(scanned(docs))
-    wholes, parts = map(leave, repeated_spans(rows, window, gram, most), ("wholes", "spans"))
-    again = tuple(map(leave, repeated_spans(_coded(rows), CODE * words, gram, most), ("word-wholes", "word-spans"))) if words else ()
+    wholes, parts = _found(rows, window, gram, most, False)
+    again = _found(rows, CODE * words, gram, most, True) if words else ()
     own = {"text", *RESULTS} - (set() if words else {"n_passage_words"})
     keep = [c for c in docs.columns if c.lower() not in own] if texts else ["doc_id"]
 
