@@ -22,6 +22,25 @@ def codes(seq: Column, alphabet: str) -> Column:
     return F.transform(symbols, lambda c: F.when(at(c) >= 0, at(c)).otherwise(F.raise_error(F.lit("symbol outside the alphabet")).cast("int")).cast("smallint"))
 
 
+def encode_continuous(df: DataFrame, alphabet: str = AMINO_ACIDS, k: int = 3, encoding: str = "continuous_kmer", prefix: str = "") -> DataFrame:
+    """Windows of k symbols without gaps, the only encoding that there is: (seq_id, place, kmer). Others are refused, as are prefixes."""
+    check_alphabet(alphabet)
+    if encoding != "continuous_kmer":
+        raise ValueError(f"unknown encoding {encoding}")
+    if prefix:
+        raise ValueError("features have no prefixes")
+    if k < 1:
+        raise ValueError("k must be positive")
+    known = df.where(F.size(codes(F.col("seq"), alphabet)) >= 0)  # an unknown symbol raises
+    return kmers(known, k).select("seq_id", "place", "kmer")
+
+
+def sequence_sizes(df: DataFrame, alphabet: str = AMINO_ACIDS) -> DataFrame:
+    """(seq_id, length, nbytes): the length of each sequence, and the bytes of its codes in packed words."""
+    n = F.length("seq").cast("long")
+    return df.select("seq_id", n.alias("length"), (8 * F.greatest(F.lit(1), F.ceil(n * code_bits(alphabet) / 64))).cast("long").alias("nbytes"))
+
+
 def code_bits(alphabet: str) -> int:
     return max(1, (len(alphabet) - 1).bit_length())
 

@@ -86,3 +86,15 @@ def padded_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repertoire_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("rep"), F.explode(F.split(F.lower("text"), " ")).alias("seq"))
     return Q.overlap(t.groupBy("rep", "seq").agg(F.count("*").alias("n")))
+
+
+@query("WITH " + SEQS + ", g AS (SELECT seq_id, CAST(length(seq) AS BIGINT) AS length FROM s) SELECT seq_id, length, CAST(8 * greatest(1, (length * 5 + 63) // 64) AS BIGINT) AS nbytes FROM g")
+def sequence_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.sequence_sizes(_sequences(spark, sf_dir), LETTERS)
+
+
+@query("WITH " + SEQS + ", k AS (SELECT seq_id, CAST(p - 1 AS BIGINT) AS place, substr(seq, CAST(p AS INTEGER), 3) AS kmer FROM s, LATERAL (SELECT unnest(range(1, length(seq) - 1)) AS p)) SELECT seq_id % 7 AS rep, kmer, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY 1, 2")
+def kmer_matrix_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each k-mer in each group, in long form."""
+    rows = Q.encode_continuous(_sequences(spark, sf_dir), LETTERS, 3)
+    return rows.groupBy((F.col("seq_id") % 7).alias("rep"), "kmer").agg(F.count("*").alias("n"))

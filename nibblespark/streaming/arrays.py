@@ -1,7 +1,8 @@
-"""Streams of array updates: windowed counts, online edits with state, and chunks encoded as they come."""
+"""Streams of array updates: windowed counts, edits and caches with state, replay buffers, chunks encoded as they come."""
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .._ship import ship_package
-from ..operators import storage
+from ..operators import storage, workloads
 
 
 def windowed_counts(events: DataFrame, value: str, ts: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -49,3 +50,38 @@ def encode_chunks(values: DataFrame, path: str, checkpoint: str, size: int = sto
         storage.encoded(storage.chunks(batch, size)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return values.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def append_observations(observations: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Append (obs_id, ...) of each micro-batch to a replay buffer; a batch that runs again overwrites its own folder."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return observations.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def sample_appended(spark, path: str, ids: DataFrame) -> DataFrame:
+    """Rows (k, i) of what a replay buffer holds by now, in order and with repeats."""
+    return workloads.sample(spark.read.parquet(path).drop("epoch"), ids)
+
+
+def lru_reads(reads: DataFrame, size: int, budget_chunks: int, mode: str = "append") -> DataFrame:
+    """Reads (cache, step, pos) of many caches: (cache, step, chunk, hit). The state is each cache's chunks, oldest first."""
+    ship_package(reads.sparkSession)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = OrderedDict.fromkeys(state.get[0] if state.exists else [])
+        rows = []
+        # a trigger's reads of a cache come in any order
+        for s, pos in sorted((int(s), int(p)) for pdf in batches for s, p in zip(pdf["step"], pdf["pos"])):
+            chunk = pos // size
+            rows.append((int(key[0]), s, chunk, chunk in held))
+            held[chunk] = None
+            held.move_to_end(chunk)
+            if len(held) > budget_chunks:
+                held.popitem(last=False)
+        state.update((list(held),))
+        yield pd.DataFrame(rows, columns=["cache", "step", "chunk", "hit"])
+
+    return reads.groupBy("cache").applyInPandasWithState(step, "cache long, step long, chunk long, hit boolean", "held array<long>", mode, GroupStateTimeout.NoTimeout)
