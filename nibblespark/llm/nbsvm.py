@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, small_batches, text_bytes
+from ._common import give_back, held_out, small_batches, text_bytes
 
 #: Labelled rows that the fit may use, in the order of a hash of their ids.
 SAMPLE_ROWS = 4_000
@@ -131,7 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     got = chosen.mapInArrow(run, "doc_id long, quality int, ids array<int>").toArrow().sort_by("doc_id")
     lists = got.column("ids").combine_chunks()
     flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-    return fit(np.split(flat, ends[:-1]) if len(ends) else [], got.column("quality").to_numpy())
+    model = fit(np.split(flat, ends[:-1]) if len(ends) else [], got.column("quality").to_numpy())
+    del got, lists, flat
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataFrame:

@@ -188,3 +188,30 @@ def test_near_copies_are_caught(spark):
     assert sum(i >= 1000 and label[i] != i for i in label) >= 110
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()}
     assert got == set(label.values())
+
+
+def test_the_driver_gives_back_what_the_fit_took(tmp_path):
+    """In a process of its own, as memory that earlier tests freed would hide what a fit keeps."""
+    import subprocess
+    import sys
+
+    code = f"""
+import re
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from nibblespark.llm import nbsvm
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", "{tmp_path}").getOrCreate()
+rng = np.random.default_rng(1)
+texts = ["".join(map(chr, rng.integers(97, 123, 2500))) for _ in range(2000)]
+docs = spark.createDataFrame(pa.table({{"doc_id": range(2000), "text": texts}}))
+labels = spark.createDataFrame(pa.table({{"doc_id": range(2000), "quality": [i % 2 for i in range(2000)]}}))
+held = lambda: sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+nbsvm.train(docs.limit(50), labels)  # what is loaded once
+before = held()
+nbsvm.train(docs, labels)
+print("kept", held() - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert float(out.stdout.split("kept")[1]) < 25, out.stdout + out.stderr[-2000:]
