@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,28 @@ def test_op10_quality_rules(spark):
         assert r["kept"] == (not failed[i] and score <= edge) or abs(score - edge) < 1e-9
     good, bad = ([rows[i]["kept"] for i, q in order if i in rows and q == k and not failed[i]] for k in (1, 0))
     assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.2
+
+
+def test_op10_fits_all_labelled_rows(spark):
+    """More labels than the 20,000 of before: forest and threshold equal those of all rows at once."""
+    rng = np.random.default_rng(4)
+    n, names = 27_000, [f"f_{x}" for x in quality_rules.FEATURES]
+    quality = (rng.random(n) < 0.8).astype(int)
+    rows = np.column_stack([rng.normal(5, 1, n).round(3), *(np.maximum(rng.normal(0.01 * k, 0.05, n), 0) for k in range(6))]) + np.where(quality, 0, 0.15)[:, None]
+    known = spark.createDataFrame(pa.table({"doc_id": np.arange(n), "quality": quality} | dict(zip(names, rows.T.copy()))))
+    order = [r["doc_id"] for r in known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    for kept in (np.array(order), np.array([i for i in order if quality[i]])):  # with bad rows, and without
+        forest, edge = quality_rules.fit_table(known.where(F.lit(len(kept) == n) | (F.col("quality") == 1)), names)
+        plain, want = quality_rules.fit_forest(rows[kept], quality[kept])
+        assert np.allclose(forest.low, plain.low, rtol=0, atol=1e-12) and np.allclose(forest.high, plain.high, rtol=0, atol=1e-12)
+        assert abs(edge - want) < 1e-9 and np.allclose(forest.score(rows[:500]), plain.score(rows[:500]), rtol=0, atol=1e-9)
+
+
+def test_op10_labels_beyond_a_sample_count(spark):
+    """Of 24,000 good rows, the 3,000 that come last by the hash of their ids are long-worded: the whole table is the usual range."""
+    ids = [r["id"] for r in spark.range(34_000).where(F.crc32(F.col("id").cast("string")) % 4 != 2).orderBy(F.xxhash64("id"), "id").collect()][:24_000]
+    words = {i: ("w" * (5 + i % 3), "longerword" * 2)[k >= 21_000] for k, i in enumerate(ids)}
+    texts = [" ".join(f"{w}{chr(97 + k)}" for k in range(12)) for w in words.values()]
+    docs = spark.createDataFrame(pa.table({"doc_id": ids, "text": texts}))
+    labels = spark.createDataFrame(pa.table({"doc_id": ids, "quality": [1] * len(ids)}))
+    assert quality_rules.apply_rules(docs, labels).where("kept").count() >= 0.99 * len(ids)
