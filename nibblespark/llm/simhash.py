@@ -21,11 +21,12 @@ smallest id that is not null, or null. Repeated rows are one vertex. Extra colum
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import handed_on, materialise, scratch_scope, small_batches, text_bytes
@@ -176,6 +177,8 @@ COPY_SHINGLE = 5
 #: Common shingles come last in the order of shingles: one row of SAMPLED is counted, HOT times make one common.
 #: They only set the order in which shingles are looked up; no pair depends on them.
 SAMPLED, HOT, MOST_HOT = 8, 6, 100_000
+#: Members of a bucket that may meet all others of it, how often larger buckets are dealt again, and how many of them are asked what most have.
+ALL_MEET, LEVELS, MAJORITY = 32, 8, 15
 #: 64-bit parts of a set's parities: sets differ in as many elements as their parities in bits, or in more.
 PARITIES = 16
 
@@ -248,12 +251,20 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
 
 
-SKETCH = "block long, row long, doc_id long, sig long, n int, print long, parities array<long>, firsts array<long>"
+def _often(tokens: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How often the sample has each shingle; zero if it is not common."""
+    common, counts = order
+    if not len(common):
+        return np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+    return np.where(common[at] == tokens, counts[at], 0)
 
 
-def _sketches(rows: DataFrame) -> DataFrame:
-    """Of each row: the signature of its set of shingles, the set's size, fingerprint, parities and rarest shingles."""
-    common, counts = _common(rows)
+SKETCH = "block long, row long, doc_id long, sig long, n int, rare int, print long, parities array<long>, firsts array<long>"
+
+
+def _sketches(rows: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Of each row: the signature of its set of shingles, the set's size, how many are not common, fingerprint, parities, rarest shingles."""
     names = [f.split()[0] for f in SKETCH.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,18 +272,18 @@ def _sketches(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            sigs, sizes, prints, parities, firsts = [], [], [], [], []
+            sigs, sizes, rare, prints, parities, firsts = [], [], [], [], [], []
             for t in text_bytes(b.column("text")):
                 own = shingle_set(t, memory)
-                at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
-                often = np.where(common[at] == own, counts[at], 0) if len(common) else np.zeros(len(own), np.int64)
+                often = _often(own, order)
                 sigs.append(_signature(own))
                 sizes.append(len(own))
+                rare.append(np.count_nonzero(often == 0))
                 prints.append(majority(own.view(np.uint64)))
                 parities.append(_parities(own))
                 firsts.append(own[np.lexsort((own, often))[: _prefix(len(own))]])
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (parities, firsts)]
-            numbers = [pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            numbers = [pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays([b.column("__block"), b.column("__row"), b.column("doc_id"), *numbers, *lists], names=names)
 
     return materialise(rows.select("__block", "__row", "doc_id", "text").mapInArrow(run, SKETCH), "sketches")
@@ -293,7 +304,15 @@ def _verified(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     # at 0.8 the sets differ in a ninth of their sizes at most
     likely = pairs.distinct().join(left, "a").join(right, "b").where(9 * apart <= F.col("na") + F.col("nb"))
     pairs = materialise(likely.select("a", "b"), "pairs")
-    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    sets = _sets(rows, texts, pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
+    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("own").alias("y")), "b")
+    # i / (x + y - i) >= 4 / 5
+    enough = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
+    return materialise(both.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar", hand_on=True)
+
+
+def _sets(rows: DataFrame, texts: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The whole set of each signature in ``sigs``."""
     path = leave(texts.select("sig", "block", "row").join(sigs, "sig", "left_semi").select("block", "row", "sig"), "needed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,11 +326,7 @@ def _verified(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "own"])
 
-    sets = materialise(rows.select("__block", "__row", "text").mapInArrow(run, "sig long, own array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("own").alias("y")), "b")
-    # i / (x + y - i) >= 4 / 5
-    enough = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
-    return materialise(both.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar", hand_on=True)
+    return materialise(rows.select("__block", "__row", "text").mapInArrow(run, "sig long, own array<long>"), "sets")
 
 
 def _sized(n: Column, m: Column) -> Column:
@@ -323,21 +338,111 @@ def _paired(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _sized_buckets(members: DataFrame) -> DataFrame:
+    """Buckets dealt by size: sets that can share 0.8 of their union are in one class or in neighbours, and meet in the higher."""
+    size = F.floor(F.log("n") / math.log(1.26))
+    return members.withColumn("bucket", F.explode(F.array(F.xxhash64("bucket", size), F.xxhash64("bucket", size + 1))))
+
+
+def _differences(rows: DataFrame, texts: DataFrame, members: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """Links, and buckets in which all further links meet, from how members differ from what most of them have.
+
+    Buckets that choose the same member are one. Let c be the shingles that over half of a sample have, D(x) what x
+    has and c lacks, or lacks and c has, s(x) the size of x less nine times that of D(x). Sets x and y share 0.8 of
+    their union if D(x) and D(y) differ in a ninth of both sizes at most, so if s(x) + s(y) >= 0, or if they have
+    -(s(x) + s(y)) / 18 elements in common. The former are linked to the member with the highest s. Any others need
+    a common element, which is among the first of each in any order; no more than about half of all can have it.
+    """
+    spark = rows.sparkSession
+    with scratch_scope(spark):
+        chosen = materialise(members.groupBy("bucket").agg(F.min(F.struct("rare", "sig")).alias("x")).select("bucket", F.col("x.sig").alias("c")), "chosen")
+        stars = materialise(members.select("bucket", "sig", "rare").join(chosen, "bucket").select("sig", "rare", "c").distinct(), "stars")
+        sets = _sets(rows, texts, stars.select("sig").distinct())
+        some = stars.groupBy("c", F.pmod(F.xxhash64("sig"), F.lit(MAJORITY)).alias("k")).agg(F.min("sig").alias("sig"))
+        held = some.withColumn("asked", F.count("*").over(Window.partitionBy("c"))).join(sets, "sig").select("c", "asked", F.explode("own").alias("token"))
+        most = held.groupBy("c", "token").agg(F.count("*").alias("have"), F.max("asked").alias("asked")).where("2 * have > asked")
+        most = materialise(most.groupBy("c").agg(F.collect_list("token").alias("most")), "majorities")
+        both = stars.join(sets, "sig").join(most, "c", "left").select("sig", "rare", "c", "own", F.coalesce("most", F.array().cast("array<long>")).alias("most"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sizes, tokens = [], []
+                for own, most in zip(b.column("own"), b.column("most")):
+                    own, most = own.values.to_numpy(), most.values.to_numpy()
+                    more, less = np.setdiff1d(own, most, assume_unique=True), np.setdiff1d(most, own, assume_unique=True)
+                    # rare ones first; a rare one of the majority is what most of the other texts lack
+                    tokens.append(np.append(more[np.lexsort((more, _often(more, order)))], less[np.lexsort((less, -_often(less, order)))]))
+                    sizes.append(len(own))
+                if sizes:
+                    made = [pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([b.column("sig"), b.column("rare"), b.column("c"), *made], names=["sig", "rare", "c", "n", "tokens"])
+
+        apart = materialise(both.mapInArrow(run, "sig long, rare int, c long, n int, tokens array<long>"), "differences", hand_on=True)
+    apart = apart.withColumn("d", F.size("tokens")).withColumn("slack", F.col("n") - 9 * F.col("d"))
+    best = apart.groupBy("c").agg(F.max(F.struct("slack", "sig")).alias("x")).select("c", F.col("x.slack").alias("top"), F.col("x.sig").alias("best"))
+    apart = apart.join(best, "c").withColumn("linked", F.expr("slack + top >= 0"))
+    links = apart.where("linked AND sig != best").select(F.col("sig").alias("u"), F.col("best").alias("v"))
+    # the core is for sets that are not linked; these are looked up by more, for those that are
+    core, whole = F.expr("d + floor((slack + least(top, -top - 1)) / 18) + 1"), F.expr("d + floor((slack + top) / 18) + 1")
+    apart = apart.withColumn("near", core).withColumn("far", F.greatest(F.when(F.col("linked"), core).otherwise(whole), F.lit(0)).cast("int"))
+    dealt = apart.select("sig", "n", "rare", "c", "d", "slack", "near", F.posexplode(F.slice("tokens", F.lit(1), F.col("far"))).alias("at", "token"))
+    return links, dealt.select(F.xxhash64("c", "token").alias("bucket"), "sig", "n", "rare", (F.col("d") - F.col("at")).alias("room"), "slack", (F.col("at") < F.col("near")).alias("core"))
+
+
+def _met(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket, of which one is of its core; ``room`` and ``slack`` let them reach 0.8."""
+    y = members.select("bucket", *(F.col(c).alias(f"{c}_") for c in ("sig", "n", "room", "slack", "core", "part")))
+    once = F.expr("part != part_ AND (sig < sig_ OR NOT core_)") & _sized(F.col("n"), F.col("n_"))
+    enough = 18 * F.least("room", "room_") + F.col("slack") + F.col("slack_") >= 0
+    return members.where("core").join(y, "bucket").where(once & enough).select(*_paired(F.col("sig"), F.col("sig_"))).distinct()
+
+
+def _remaining(rows: DataFrame, texts: DataFrame, members: DataFrame, joined: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """Pairs that may be similar and are not in one component, and the components (sig, component) with all links found here.
+
+    A member meets at most ``ALL_MEET`` others of a bucket. Larger buckets are dealt by size, and then by differences
+    from what most have, until all pairs in them are no more than there are texts; what is still large after
+    ``LEVELS`` times meets all the same.
+    """
+    pairs, level, few = None, 0, texts.count()
+    while True:
+        parts = materialise(members.join(joined, "sig", "left").withColumn("part", F.coalesce("component", "sig")).drop("component"), "parts")
+        of = parts.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members"), F.sum(F.col("core").cast("int")).alias("cores"))
+        mixed = materialise(of.where("low != high AND cores > 0").select("bucket", "members", "cores"), "mixed")
+        ahead = mixed.where(F.col("cores") > ALL_MEET).agg(F.sum(F.expr("double(cores) * members"))).first()[0] or 0
+        again = ahead > few and level <= LEVELS
+        met = parts.join(mixed.where(F.col("cores") <= ALL_MEET) if again else mixed, "bucket", "left_semi")
+        met = materialise(_met(met), "rest")
+        pairs = met if pairs is None else pairs.unionByName(met)
+        if not again:
+            return pairs, joined
+        large = parts.join(mixed.where(F.col("cores") > ALL_MEET), "bucket", "left_semi").drop("part")
+        if level:
+            links, members = _differences(rows, texts, large, order)
+            known = joined.select(F.col("sig").alias("u"), F.col("component").alias("v"))
+            joined = connected_components(known.unionByName(links)).withColumnRenamed("id", "sig")
+        else:
+            members = _sized_buckets(large)
+        level += 1
+
+
 def _copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sketches of all rows, and (sig, part, block, row, doc_id): the component of each signature and its first row.
 
     Texts are sets of shingles (64-bit hashes). Fingerprints over these sets go through the covering tables; their
     close pairs are candidates. For the others: in an order of all shingles, rare ones first, two sets that share
     0.8 of their union share one of their first fifth, so these are buckets from which no pair is lost. A bucket
-    first holds its members against one of them; then only members that are not in one component yet meet.
+    first holds its members against one of them; then only members that are not in one component yet meet, and
+    where they are many, only those with a common difference from most others (see ``_differences``).
     Sizes, places in the order and parities leave out pairs that can't reach 0.8; whole sets decide each link.
     """
     spark = rows.sparkSession
     small_batches(spark)
     with scratch_scope(spark):
-        wide = _sketches(rows)
-        first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "block", "row", "n", "print", "parities", "firsts")).alias("x")
-        texts = materialise(wide.groupBy("sig").agg(first).select("sig", "x.doc_id", "x.block", "x.row", "x.n", "x.print", "x.parities", "x.firsts"), "texts-once", hand_on=True)
+        order = _common(rows)
+        wide = _sketches(rows, order)
+        first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "block", "row", "n", "rare", "print", "parities", "firsts")).alias("x")
+        texts = materialise(wide.groupBy("sig").agg(first).select("sig", "x.doc_id", "x.block", "x.row", "x.n", "x.rare", "x.print", "x.parities", "x.firsts"), "texts-once", hand_on=True)
         sketches = materialise(wide.select("block", "row", "doc_id", "sig"), "signatures", hand_on=True)
 
     # the covering tables
@@ -347,7 +452,7 @@ def _copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     equal = texts.select("sig", "print").join(prints, "print").where("sig != id").select(*_paired(F.col("sig"), F.col("id")))
 
     # the rarest shingles
-    dealt = texts.select("sig", "n", F.posexplode("firsts").alias("at", "token"))
+    dealt = texts.select("sig", "n", "rare", F.posexplode("firsts").alias("at", "token"))
     centre = F.min(F.struct(F.xxhash64(F.pmod("token", F.lit(2)), "sig"), F.col("sig").alias("a"), F.col("n").alias("m"))).alias("c")  # few different centres for one text
     buckets = dealt.groupBy("token").agg(F.count("*").alias("members"), centre).where("members > 1").select("token", F.col("c.a").alias("a"), F.col("c.m").alias("m"))
     shared = materialise(dealt.join(buckets, "token"), "shared")
@@ -355,14 +460,10 @@ def _copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = _similar(rows, texts, materialise(tables.unionByName(equal).unionByName(stars).distinct(), "candidates"))
 
     joined = connected_components(near).withColumnRenamed("id", "sig")
-    parts = shared.join(joined, "sig", "left").select("token", "sig", "n", "at", F.coalesce("component", "sig").alias("part"))
-    parts = materialise(parts, "parts")
-    mixed = parts.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token")
-    x = parts.join(mixed, "token", "left_semi")
-    y = x.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("part").alias("other"))
-    # the first element that two sets share leaves so many for the others
-    left = 9 * F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) >= 4 * (F.col("n") + F.col("m"))
-    rest = materialise(x.join(y, "token").where("sig < b AND part != other").where(_sized(F.col("n"), F.col("m")) & left).select(F.col("sig").alias("a"), "b").distinct(), "rest")
+    # a difference from the empty set is the set itself
+    members = shared.select(F.col("token").alias("bucket"), "sig", "n", "rare", (F.col("n") - F.col("at")).alias("room"), (-8 * F.col("n")).alias("slack"), F.lit(True).alias("core"))
+    rest, joined = _remaining(rows, texts, members, joined, order)
+    rest = materialise(rest.distinct(), "rest")
     if rest.limit(1).count():
         more = _similar(rows, texts, rest)
         if more.limit(1).count():

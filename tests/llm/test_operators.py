@@ -314,6 +314,30 @@ def test_texts_below_the_similarity_are_not_joined(spark):
     assert simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).where("doc_id != component_id").count() == 0
 
 
+@pytest.mark.parametrize("all_meet", [32, 3])
+def test_pairs_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch, all_meet):
+    """400 texts that differ from one text, which is not there, and are too far from each other; some have copies."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, few = [word() for _ in range(100)], [word() for _ in range(4)]
+    texts = {}
+    for i in range(400):
+        own = list(base)
+        for at in rng.sample(range(5, 95), 2):
+            own[at] = word() if i % 4 else rng.choice(few)  # some of the changes are those of others
+        texts[i] = " ".join(own)
+        if i % 10 == 0:
+            own[rng.randrange(100)] = word()
+            texts[1000 + i] = " ".join(own)
+    met, similar = [], simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda rows, texts, pairs: met.append(pairs.count()) or similar(rows, texts, pairs))
+    monkeypatch.setattr(simhash, "ALL_MEET", all_meet, raising=False)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = jaccard_components(texts)
+    assert got == want and 300 < len(set(want.values())) < 400
+    assert sum(met) < 20 * len(texts)
+
+
 # ---------------------------------------------------------------- 8 packages
 
 
