@@ -1,14 +1,14 @@
-"""Fourier transforms: a short one as a join with its kernel, any other by grouped Arrow batches."""
+"""Fourier transforms: a short one as a join with its kernel, any other by Arrow batches of whole signals."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .._groups import by_key, chunks
 from .._ship import ship_package
 
 NAMES = ("fft", "ifft", "rfft", "irfft", "hfft", "ihfft", "fft2", "ifft2", "rfft2", "irfft2", "fftn", "ifftn", "rfftn", "irfftn")
@@ -27,16 +27,25 @@ def transform(stack: DataFrame, name: str, shape: tuple[int, ...]) -> DataFrame:
     if name not in NAMES:
         raise ValueError(f"unknown transform {name}")
     ship_package(stack.sparkSession)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(int(np.prod(shape)), complex)
-        x[pdf["pos"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        x = x.reshape(shape)
-        x = x.real if name in ("rfft", "ihfft", "rfft2", "rfftn") else x
-        y = np.asarray(getattr(np.fft, name)(x), complex).ravel()
-        return pd.DataFrame({"key": key[0], "pos": np.arange(len(y)), "re": y.real, "im": y.imag})
-
-    return stack.groupBy("key").applyInPandas(run, "key long, pos long, re double, im double")
+    size, rank = int(np.prod(shape)), len(shape)
+    kind = getattr(np.fft, name)
+    axes = {"axis": -1} if name.rstrip("2n") == name else {"axes": (-2, -1) if name.endswith("2") else tuple(range(-rank, 0))}
+
+    def run(keys, starts, group, columns):
+        pos, re, im = columns
+        ends = np.r_[starts[1:], len(pos)]
+        for a, b in chunks(np.full(len(starts), size)):
+            of = slice(starts[a], ends[b - 1])
+            x = np.zeros((b - a, size), complex)
+            x[group[of] - a, pos[of]] = re[of] + 1j * im[of]
+            x = x.reshape(b - a, *shape)
+            x = x.real if name in ("rfft", "ihfft", "rfft2", "rfftn") else x
+            y = np.asarray(kind(x, **axes), complex).reshape(b - a, -1)
+            n = y.shape[1]
+            yield [keys.take(np.repeat(np.arange(a, b), n)), np.tile(np.arange(n), b - a), y.real.ravel(), y.imag.ravel()]
+
+    rows = stack.select(F.col("key").cast("long").alias("key"), "pos", F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    return by_key(rows, run, "key long, pos long, re double, im double")
 
 
 def fftfreq(spark: SparkSession, n: int, d: float = 1.0) -> DataFrame:
