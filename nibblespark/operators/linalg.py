@@ -1,4 +1,4 @@
-"""Linear algebra over long-form matrices (i0, i1, v), and dense decompositions by grouped Arrow batches.
+"""Linear algebra over long-form matrices (i0, i1, v), and dense decompositions by Arrow batches of whole matrices.
 
 Products are equi-joins on the contracted index with a partial aggregate. Decompositions work on stacks of
 matrices that each fit one task, grouped by a key; sizes beyond that need a blocked method.
@@ -6,13 +6,14 @@ matrices that each fit one task, grouped by a key; sizes beyond that need a bloc
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .._groups import by_key, chunks
 from .._ship import ship_package
 
 
@@ -92,19 +93,43 @@ def cross(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.i0", "c.v")
 
 
-def _dense(pdf: pd.DataFrame, value: str = "v") -> np.ndarray:
-    out = np.zeros((int(pdf.i0.max()) + 1, int(pdf.i1.max()) + 1))
-    out[pdf.i0.to_numpy(), pdf.i1.to_numpy()] = pdf[value].to_numpy(float)
+def _shapes(group: np.ndarray, n: int, *index: np.ndarray) -> np.ndarray:
+    """Rows and columns of each of n matrices: its greatest indices and one; 0 where it has no cells."""
+    out = np.zeros((n, len(index)), int)
+    for k, i in enumerate(index):
+        np.maximum.at(out[:, k], group, i + 1)
     return out
 
 
-def _long(key, name: str, x: np.ndarray) -> pd.DataFrame:
-    x = np.atleast_2d(np.asarray(x, float))
-    i, j = np.indices(x.shape)
-    return pd.DataFrame({"key": key, "part": name, "i0": i.ravel(), "i1": j.ravel(), "v": x.ravel()})
+def _stacks(shapes: np.ndarray) -> Iterator[np.ndarray]:
+    """Which matrices are worked on at once: those of one shape, bounded by their cells."""
+    kinds, kind = np.unique(shapes, axis=0, return_inverse=True)
+    for k in range(len(kinds)):
+        of = np.flatnonzero(kind.ravel() == k)
+        for a, b in chunks(np.full(len(of), int(kinds[k].prod()))):
+            yield of[a:b]
 
 
-#: Each gives named parts of a square or rectangular matrix.
+def _dense(of: np.ndarray, shape: np.ndarray, group: np.ndarray, i0: np.ndarray, i1: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The matrices ``of`` (sorted groups) as one stack."""
+    if not shape.all():
+        raise ValueError("a matrix without cells")
+    out = np.zeros((len(of), *shape))
+    at = np.searchsorted(of, group)
+    on = of[np.minimum(at, len(of) - 1)] == group
+    out[at[on], i0[on], i1[on]] = v[on]
+    return out
+
+
+def _long(keys: pa.Array, of: np.ndarray, name: str, x: np.ndarray) -> list:
+    """Columns of a part: scalars and vectors are single rows."""
+    x = np.asarray(x, float)
+    x = x.reshape(len(of), *((1,) * (3 - x.ndim)), *x.shape[1:])
+    _, i, j = np.indices(x.shape)
+    return [keys.take(pa.array(np.repeat(of, x[0].size))), pa.repeat(name, x.size), i.ravel(), j.ravel(), x.ravel()]
+
+
+#: Each gives named parts of square or rectangular matrices of one shape.
 DECOMPOSITIONS: dict[str, Callable[[np.ndarray], dict[str, np.ndarray]]] = {
     "cholesky": lambda m: {"lower": np.linalg.cholesky(m)},
     "det": lambda m: {"det": np.linalg.det(m)},
@@ -118,28 +143,40 @@ DECOMPOSITIONS: dict[str, Callable[[np.ndarray], dict[str, np.ndarray]]] = {
     "eigvalsh": lambda m: {"values": np.linalg.eigvalsh(m)},
     "matrix_rank": lambda m: {"rank": np.linalg.matrix_rank(m)},
     "cond": lambda m: {"cond": np.linalg.cond(m)},
-    "norm_2": lambda m: {"norm": np.linalg.norm(m, 2)},
-    "norm_nuc": lambda m: {"norm": np.linalg.norm(m, "nuc")},
+    "norm_2": lambda m: {"norm": np.linalg.norm(m, 2, (-2, -1))},
+    "norm_nuc": lambda m: {"norm": np.linalg.norm(m, "nuc", (-2, -1))},
 }
 
 
 def decompose(stack: DataFrame, name: str) -> DataFrame:
     """(key, part, i0, i1, v) for each matrix (key, i0, i1, v) of a stack."""
     ship_package(stack.sparkSession)
-    f, dense, long = DECOMPOSITIONS[name], _dense, _long
+    f = DECOMPOSITIONS[name]
+
+    def run(keys, starts, group, columns):
+        i0, i1, v = columns
+        shapes = _shapes(group, len(starts), i0, i1)
+        for of in _stacks(shapes):
+            for part, x in f(_dense(of, shapes[of[0]], group, i0, i1, v)).items():
+                yield _long(keys, of, part, x)
+
+    return by_key(_cells(stack), run, "key long, part string, i0 long, i1 long, v double")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([long(key[0], part, x) for part, x in f(dense(pdf)).items()])
 
-    return stack.groupBy("key").applyInPandas(run, "key long, part string, i0 long, i1 long, v double")
+def _cells(stack: DataFrame, *more: Column) -> DataFrame:
+    return stack.select(F.col("key").cast("long").alias("key"), "i0", "i1", F.col("v").cast("double").alias("v"), *more)
 
 
 def solve(stack: DataFrame) -> DataFrame:
     """x of a @ x = b for each key: rows (key, i0, i1, v) with ``side`` 'a' or 'b'."""
     ship_package(stack.sparkSession)
-    dense, long = _dense, _long
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return long(key[0], "x", np.linalg.solve(dense(pdf[pdf.side == "a"]), dense(pdf[pdf.side == "b"])))
+    def run(keys, starts, group, columns):
+        sides = [[c[columns[3] == n] for c in (group, *columns[:3])] for n in (0, 1)]
+        shapes = np.hstack([_shapes(g, len(starts), i0, i1) for g, i0, i1, _ in sides])
+        for of in _stacks(shapes):
+            a, b = (_dense(of, shapes[of[0]][2 * n : 2 * n + 2], *sides[n]) for n in (0, 1))
+            yield _long(keys, of, "x", np.linalg.solve(a, b))
 
-    return stack.groupBy("key").applyInPandas(run, "key long, part string, i0 long, i1 long, v double")
+    side = F.when(F.col("side") == "a", 0).when(F.col("side") == "b", 1).otherwise(2)
+    return by_key(_cells(stack, side.alias("side")), run, "key long, part string, i0 long, i1 long, v double")

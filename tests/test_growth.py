@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nibblespark import _groups
-from nibblespark.operators import fourier
+from nibblespark.operators import fourier, linalg
 
 
 def plan(df):
@@ -36,3 +36,19 @@ def test_chunks_of_groups_are_bounded(monkeypatch):
     monkeypatch.setattr(_groups, "CELLS", 10)
     assert list(_groups.chunks(np.array([4, 4, 4, 30, 1, 9, 1]))) == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7)]
     assert list(_groups.chunks(np.array([], int))) == []
+
+
+def test_matrices_of_several_shapes_go_to_python_many_at_once(spark):
+    rng = np.random.default_rng(6)
+    mats = {k: (m := rng.normal(size=(n, n))) @ m.T + 3 * np.eye(n) for k, n in enumerate([3, 1, 4, 3, 3, 4, 2, 3])}
+    rows = [(k, i, j, float(v)) for k, m in mats.items() for (i, j), v in np.ndenumerate(m)]
+    stack = spark.createDataFrame(rows, "key long, i0 long, i1 long, v double")
+    for name, part, f in (("inv", "inverse", np.linalg.inv), ("det", "det", np.linalg.det), ("norm_nuc", "norm", lambda m: np.linalg.norm(m, "nuc")), ("norm_2", "norm", lambda m: np.linalg.norm(m, 2)), ("eigh", "values", np.linalg.eigvalsh), ("svd", "s", lambda m: np.linalg.svd(m, compute_uv=False))):
+        out = linalg.decompose(stack, name)
+        assert "FlatMapGroupsInPandas" not in plan(out)
+        got = {(r["key"], r["i0"], r["i1"]): r["v"] for r in out.where(F.col("part") == part).collect()}
+        want = {(k, i, j): v for k, m in mats.items() for (i, j), v in np.ndenumerate(np.atleast_2d(f(m)))}
+        assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+    side = stack.withColumn("side", F.lit("a"))
+    got = {(r["key"], r["i0"]): r["v"] for r in linalg.solve(side.unionByName(side.where("i1 = 0").withColumn("v", F.lit(1.0)).withColumn("side", F.lit("b")))).collect()}
+    assert all(abs(got[k, i] - x) < 1e-9 for k, m in mats.items() for i, x in enumerate(np.linalg.solve(m, np.ones(len(m)))))
