@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nibblespark import _groups
-from nibblespark.operators import fourier, linalg
+from nibblespark.operators import automata, fourier, linalg
 
 
 def plan(df):
@@ -52,3 +52,33 @@ def test_matrices_of_several_shapes_go_to_python_many_at_once(spark):
     side = stack.withColumn("side", F.lit("a"))
     got = {(r["key"], r["i0"]): r["v"] for r in linalg.solve(side.unionByName(side.where("i1 = 0").withColumn("v", F.lit(1.0)).withColumn("side", F.lit("b")))).collect()}
     assert all(abs(got[k, i] - x) < 1e-9 for k, m in mats.items() for i, x in enumerate(np.linalg.solve(m, np.ones(len(m)))))
+
+
+@pytest.mark.parametrize("rows,cols", [(1, 1), (2, 9), (9, 17), (13, 30)])
+def test_automata_by_tiles(spark, monkeypatch, rows, cols):
+    """Rims of strips and tiles, and a task for every few cells however many partitions the session has."""
+    for name, n in (("TILE_ROWS", 4), ("TILE_COLS", 16), ("TASK_CELLS", 16)):
+        monkeypatch.setattr(automata, name, n)
+    g = np.random.default_rng(7).integers(0, 2, (rows, cols))
+    cells = spark.createDataFrame([(y, x, int(g[y, x])) for y in range(rows) for x in range(cols)], "y long, x long, s long")
+    grid = lambda df, v="s": np.array([r[v] for r in df.orderBy("y", "x").collect()]).reshape(rows, cols)
+    nine = sum(np.roll(g, d, (0, 1)) for d in automata.MOORE)
+    out = automata.totalistic(cells, rows, cols, 8)
+    assert rows * cols <= 16 or f", {-(-rows * cols // 16)}), REPARTITION_BY_NUM" in plan(out)
+    np.testing.assert_array_equal(grid(out), nine % 8)
+    np.testing.assert_array_equal(grid(automata.life(cells, rows, cols)), np.where(nine == 3, 1, np.where(nine == 4, g, 0)))
+    np.testing.assert_array_equal(grid(automata.neighbour_count(cells, rows, cols, F.col("s")), "n"), nine - g)
+
+
+@pytest.mark.parametrize("n", [1, 8, 16, 40])
+def test_dft_makes_a_row_of_columns_of_a_block(spark, n):
+    x = np.random.default_rng(8).normal(size=(3, n))
+    rows = [(k, i, float(v)) for (k, i), v in np.ndenumerate(x)] + [(3, 0, None)]
+    a = spark.createDataFrame(rows, "key long, pos long, v double")
+    for inverse, f in ((False, np.fft.fft), (True, np.fft.ifft)):
+        out = fourier.dft(a, ["key"], n, inverse)
+        assert "Generate" not in plan(out).split("Exchange")[-1]
+        got = out.orderBy("key", "k").collect()
+        assert [(r["key"], r["k"]) for r in got] == [(k, i) for k in range(4) for i in range(n)]
+        np.testing.assert_allclose([complex(r["re"], r["im"]) for r in got[: 3 * n]], f(x).ravel(), atol=1e-12)
+        assert all(r["re"] is None and r["im"] is None for r in got[3 * n :])
