@@ -1,11 +1,11 @@
-"""Fourier transforms: a short one as a join with its kernel, any other by Arrow batches of whole signals."""
+"""Fourier transforms: a short one as sums of columns, any other by Arrow batches of whole signals."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._groups import by_key, chunks
@@ -14,12 +14,31 @@ from .._ship import ship_package
 NAMES = ("fft", "ifft", "rfft", "irfft", "hfft", "ihfft", "fft2", "ifft2", "rfft2", "irfft2", "fftn", "ifftn", "rfftn", "irfftn")
 
 
+#: Elements of a block that share a row of columns in ``dft``.
+PIECE = 16
+
+
 def dft(a: DataFrame, keys: list[str], n: int, inverse: bool = False) -> DataFrame:
-    """Transform of length n of (keys, pos, v) as an aggregate: each element adds to n outputs."""
+    """Transform of length n of (keys, pos, v): elements become columns by pieces of a block, then each block gives n outputs."""
     sign, scale = (1.0, 1.0 / n) if inverse else (-1.0, 1.0)
-    wide = a.select(*keys, "pos", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k"))
-    angle = F.lit(2 * math.pi / n) * ((F.col("k") * F.col("pos")) % n)
-    return wide.groupBy(*keys, "k").agg((F.sum(F.col("v") * F.cos(angle)) * scale).alias("re"), (F.sum(F.col("v") * F.sin(angle)) * (sign * scale)).alias("im"))
+    m = min(n, PIECE)
+    turn = F.lit(2 * math.pi / n)
+    at = F.pmod(F.col("pos"), F.lit(n).cast("long"))
+    places = [F.sum(F.when(F.col("__at") == j, F.col("v"))).cast("double") for j in range(m)]
+    pieces = a.select(*keys, F.floor(at / m).cast("long").alias("__piece"), (at % m).alias("__at"), "v").groupBy(*keys, "__piece").agg(*(p.alias(f"__v{j}") for j, p in enumerate(places)))
+    known = F.coalesce(*(F.col(f"__v{j}") for j in range(m))).isNotNull()
+    pieces = pieces.select(*keys, "__piece", known.alias("__known"), *(F.coalesce(f"__v{j}", F.lit(0.0)).alias(f"__v{j}") for j in range(m)))
+    if n <= m:
+
+        def output(k: int) -> Column:
+            part = lambda f, x: sum((F.col(f"__v{j}") * f(2 * math.pi / n * (k * j % n)) for j in range(1, n)), F.col("__v0") * f(0.0)) * x
+            return F.struct(F.lit(k).cast("long").alias("k"), F.when(F.col("__known"), part(math.cos, scale)).alias("re"), F.when(F.col("__known"), part(math.sin, sign * scale)).alias("im"))
+
+        return pieces.select(*keys, F.explode(F.array(*map(output, range(n)))).alias("o")).select(*keys, "o.k", "o.re", "o.im")
+    wide = pieces.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k"))
+    angle = [turn * ((F.col("k") * (F.col("__piece") * m + j)) % n) for j in range(m)]
+    part = lambda f: F.sum(F.when(F.col("__known"), sum((F.col(f"__v{j}") * f(angle[j]) for j in range(1, m)), F.col("__v0") * f(angle[0]))))
+    return wide.groupBy(*keys, "k").agg((part(F.cos) * scale).alias("re"), (part(F.sin) * (sign * scale)).alias("im"))
 
 
 def transform(stack: DataFrame, name: str, shape: tuple[int, ...]) -> DataFrame:
