@@ -123,7 +123,7 @@ SELECT 'tile' AS op, CAST(i0 + n * r AS BIGINT) AS i0, CAST(i1 + 64 * c AS BIGIN
 UNION ALL SELECT 'tril', i0, i1, CASE WHEN i1 - i0 <= 1 THEN v ELSE 0 END FROM s UNION ALL SELECT 'triu', i0, i1, CASE WHEN i1 - i0 >= -1 THEN v ELSE 0 END FROM s
 UNION ALL SELECT 'stack', i0 + n * k, i1, v * (k + 1) FROM s, n, range(2) x(k) UNION ALL SELECT 'concat', i0, i1 + 64 * c, v FROM s, range(2) y(c)""")
 def tile_repeat_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _matrix(spark, sf_dir)
+    s = _matrix(spark, sf_dir).repartition("i0")  # numbered once: all parts read this exchange
     rows = -(-table(spark, sf_dir, "lineitem").count() // 64)
     shape = (rows, 64)
     two = D.stack([s, s.withColumn("v", F.col("v") * 2)], 2)

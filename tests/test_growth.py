@@ -82,3 +82,17 @@ def test_dft_makes_a_row_of_columns_of_a_block(spark, n):
         assert [(r["key"], r["k"]) for r in got] == [(k, i) for k in range(4) for i in range(n)]
         np.testing.assert_allclose([complex(r["re"], r["im"]) for r in got[: 3 * n]], f(x).ravel(), atol=1e-12)
         assert all(r["re"] is None and r["im"] is None for r in got[3 * n :])
+
+
+def test_stacked_parts_number_the_rows_once(spark):
+    import os
+
+    from nibblespark.plans import axes
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert plan(axes.tile_repeat_stack(spark, "/root/testdata/sf0.001")).count("Window [row_number") == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
